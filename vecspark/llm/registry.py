@@ -1,15 +1,20 @@
 """Queries and SQL of the training-data operators."""
 
-from vecspark.llm import neardup
+from vecspark.llm import bpe, chat, decontaminate, neardup
 
 
 def queries():
     return {
         "op2_minhash_neardup": neardup.op2_minhash_neardup,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op6_chat_format": chat.op6_chat_format,
+        "op7_bpe": bpe.op7_bpe,
     }
 
 
 def oracle_sql():
     return {
         "op2_minhash_neardup": neardup.ORACLE,
+        "op5_decontaminate": decontaminate.ORACLE,
+        "op6_chat_format": chat.ORACLE,
     }
