@@ -31,6 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vecspark.llm import textkernel as K
 from vecspark.llm.common import read
@@ -282,7 +283,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "ids"
             ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join([b for b, _ in out]), "<i4")))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*names, into])
 
-    schema = frame.drop("__text").schema.add(into, "array<int>")
+    schema = StructType(frame.drop("__text").schema.fields).add(into, "array<int>")
     return frame.mapInArrow(run, schema)
 
 

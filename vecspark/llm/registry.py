@@ -1,11 +1,13 @@
 """Queries and SQL of the training-data operators."""
 
-from vecspark.llm import bpe, chat, decontaminate, neardup
+from vecspark.llm import bpe, chat, decontaminate, html, neardup, quality
 
 
 def queries():
     return {
+        "op1_quality": quality.op1_quality,
         "op2_minhash_neardup": neardup.op2_minhash_neardup,
+        "op3_html_extract": html.op3_html_extract,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_chat_format": chat.op6_chat_format,
         "op7_bpe": bpe.op7_bpe,
