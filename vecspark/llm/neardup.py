@@ -9,9 +9,11 @@ is a parameter). The join runs in three steps:
 2. Independent random trees over the classes. A node picks a minwise coordinate by
    hashing its own path (sometimes two, 1/threshold on average); its members branch by
    their value there. Nodes of at most `leaf` members are compared exhaustively on
-   their signatures; larger ones branch on. Nodes still large at the last level link all
-   members to one of them. This yields candidate groups: no pair is ever dropped
-   inside one.
+   their signatures. In a larger node, members somewhat like its head join the head's
+   candidate group, and those not clearly like it branch on (a member clearly like the
+   head needs no more branching: whatever is linked with it is somewhat like the head,
+   and so in the same group). Nodes still large at the last level join one group. This
+   yields candidate groups: no pair is ever dropped inside one.
 3. Every candidate group is decided on full sets: groups are cut into blocks of bounded
    size, and each pair of blocks is one unit of work that returns only a spanning
    forest of its confirmed links.
@@ -158,29 +160,34 @@ def candidate_links(scratch: Scratch, classes: DataFrame, threshold: float, tree
     coordinate = lambda *c: F.pmod(F.xxhash64(*c), F.lit(VALUES)).cast("int") + 1
     tree = sig.select("cid", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     rows = tree.select("cid", F.xxhash64("tree", F.element_at("sig", coordinate("tree"))).alias("node"))
-    leaves, stuck = [], None
+    leaves, heads = [], []
     for level in range(1, levels + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("cid").alias("head")).where("size > 1")
         kept = scratch.put(rows.join(sizes, "node"), f"level{level}")
         leaves.append(kept.where(F.col("size") <= leaf).select("node", "cid"))
         large = kept.where(F.col("size") > leaf)
+        if level == levels:
+            heads.append(large.select(F.col("cid").alias("a"), F.col("head").alias("b")))
         if level == levels or large.isEmpty():
-            stuck = large.select(F.col("cid").alias("a"), F.col("head").alias("b"))
             break
-        more = F.xxhash64("node", F.lit("second")) % 1000 < int(1000 * 2 * (1 / threshold - 1)) - 1000  # of -999..999
+        leaders = large.where("cid = head").select("node", "cid").join(sig, "cid").select("node", F.col("sig").alias("head_sig"))
+        alike = F.aggregate(F.zip_with("sig", "head_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / VALUES
+        near = large.join(sig, "cid").join(leaders, "node").select("cid", "node", "head", "sig", alike.alias("alike"))
+        near = scratch.put(near, f"large{level}")
+        heads.append(near.where(F.col("alike") >= threshold - 0.45).select(F.col("cid").alias("a"), F.col("head").alias("b")))
+        more = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < int(1000 * (1 / threshold - 1))
         picks = F.when(more, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        rows = (
-            large.join(sig, "cid")
-            .select("cid", "node", "sig", F.explode(picks).alias("pick"))
-            .select("cid", F.xxhash64("node", "pick", F.element_at("sig", coordinate("node", "pick"))).alias("node"))
-        )
+        rows = near.where(F.col("alike") < threshold - 0.25).select("cid", "node", "sig", F.explode(picks).alias("pick"))
+        rows = rows.select("cid", F.xxhash64("node", "pick", F.element_at("sig", coordinate("node", "pick"))).alias("node"))
     members = leaves[0]
     for more in leaves[1:]:
         members = members.unionAll(more)
     links = (
         members.join(sig, "cid").select("node", "cid", "sig").repartition("node").sortWithinPartitions("node").mapInArrow(_leaf_links(similar), "a long, b long")
     )
-    return links.unionAll(stuck.where("a <> b"))
+    for more in heads:
+        links = links.unionAll(more.where("a <> b"))
+    return links
 
 
 def _confirmed(percent: int):
