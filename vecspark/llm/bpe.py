@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from vecspark.llm import textkernel as K
 from vecspark.llm.common import read
@@ -283,23 +283,23 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "ids"
             ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join([b for b, _ in out]), "<i4")))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*names, into])
 
-    schema = StructType(frame.drop("__text").schema.fields).add(into, "array<int>")
+    schema = StructType([*frame.drop("__text").schema.fields]).add(into, ArrayType(IntegerType()))
     return frame.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, text_col: str = "text", into: str = "text") -> DataFrame:
-    """docs with a text column replaced by the decoding of its encoding."""
-    names = docs.columns
-    frame = docs.select(*[F.col(c) for c in names], F.col(text_col).cast("string").alias("__text"))
-    where = names.index(into)
+def with_decoded_digest(docs: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded_sha256") -> DataFrame:
+    """docs with the SHA-256 of the text that a column of token ids decodes to."""
+    names = [c for c in docs.columns if c != into]
+    frame = docs.select(*names)
+    where = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, out in _each(path, batches, len(names)):
-            columns = list(batch.columns[:-1])
-            columns[where] = pa.array([t for _, t in out], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        own = encoder(path)
+        for b in batches:
+            got = [hashlib.sha256(own.decode(x or ()).encode()).hexdigest() for x in b.column(where).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*names, into])
 
-    return frame.mapInArrow(run, docs.schema)
+    return frame.mapInArrow(run, StructType([*frame.schema.fields]).add(into, "string"))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -224,7 +224,7 @@ def scored(spark: SparkSession, docs: DataFrame, trees: Trees) -> DataFrame:
                 score = sent.value.score(statistics(texts))
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in b.columns[:-1]), pa.array(score)], names=[*names, "__score"])
 
-    return docs.select(*[F.col(c) for c in names], F.col("text").cast("string").alias("__text")).mapInArrow(run, StructType(docs.schema.fields).add("__score", "double"))
+    return docs.select(*[F.col(c) for c in names], F.col("text").cast("string").alias("__text")).mapInArrow(run, StructType([*docs.schema.fields]).add("__score", "double"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
