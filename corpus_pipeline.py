@@ -8,7 +8,6 @@ costs no more than a part of one stage. All but the last return the columns of d
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vecspark.llm import bpe, decontaminate, neardup, passages, quality
 from vecspark.llm.common import Scratch, read
@@ -36,9 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the token ids of each whole text, their number, and the digest of what they decode to."""
-    path = bpe.default_tokenizer()
-    ids = bpe.encode(docs, path)
-    return bpe.with_decoded_digest(ids, path).withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.encode(docs, bpe.default_tokenizer())
 
 
 STAGES = [

@@ -6,13 +6,13 @@ documents of bounded size (a shard, inside one task) is indexed in memory: posti
 with their BM25 impacts, each term's largest impact, and for frequent terms the largest
 impact of each block of documents.
 
-For each query, terms are split at the running threshold (the k-th best score so far):
-terms whose largest contributions together stay below it cannot lift a document alone, so
-only the postings of the other, essential terms are read. A document goes on only if its
-partial score and its block's maxima of the remaining terms reach the threshold;
-those few are scored in full from a forward index. The threshold carries over between the
-shards that one Python worker handles, as the k-th best of any part bounds the k-th best
-of the whole from below. Shards emit what reaches the threshold, at most k rows a query;
+For each query, the postings of its rare terms give each document a partial score. A block
+of documents goes on only if its best partial score and its largest impacts of the frequent
+terms together reach the running threshold (the k-th best score so far); in the blocks
+left, frequent terms are added. The documents that reach the threshold or the shard's own
+k-th best are scored again from a forward index, in double precision. The threshold
+carries over between the shards that one Python worker handles, as the k-th best of any
+part bounds the k-th best of the whole from below. Shards emit at most k rows a query;
 a final window merges them exactly. Ties go to the smaller doc_id.
 
 Queries are sent in blocks of bounded size, one pass over the shards for each, so the query
@@ -36,10 +36,13 @@ from vecspark.llm.common import Scratch, read
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 32 << 20
 BLOCK = 64
-#: (query, term) pairs that one broadcast may carry: 16 bytes each.
-QUERY_PAIRS = 2_000_000
+#: (query, term) pairs, of 16 bytes, that one pass over the shards may take, and that the driver handles at once.
+PASS_PAIRS = 4_000_000
+PIECE_PAIRS = 100_000
+#: Relative room for single precision.
+MARGIN = 1e-4
 
 
 def _bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,34 +105,39 @@ def _terms(docs: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """Inverted and forward index of a run of documents."""
+    """Inverted and forward index of a run of documents, in blocks of BLOCK documents.
+
+    Terms in at least a sixteenth of the documents are frequent: their impacts are rows of
+    a table by block and document, with each block's largest beside it. The others have
+    posting lists.
+    """
 
     def __init__(self, texts: pa.Array, mean: float):
         rows, terms, tf, sizes = _bags(texts)
         self.n = len(texts)
+        self.blocks = max(1, -(-self.n // BLOCK))
         norm = K1 * (1 - B + B * sizes / max(mean, 1e-9))
         self.terms, slot = np.unique(terms, return_inverse=True)
         impact = tf * (K1 + 1) / (tf + norm[rows])
         # forward: by document, terms ascending
         self.f_at = np.searchsorted(rows, np.arange(self.n + 1))
         self.f_slot, self.f_impact = slot, impact
-        order = np.argsort(slot, kind="stable")
-        self.doc, self.impact = rows[order], impact[order]
-        self.at = np.searchsorted(slot[order], np.arange(len(self.terms) + 1))
-        self.most = np.maximum.reduceat(self.impact, self.at[:-1]) if len(self.terms) else np.zeros(0)
-        size = np.diff(self.at)
-        self.blocks = -(-self.n // BLOCK)
-        often = np.flatnonzero(size >= max(8, self.n // 32))
-        self.often = np.full(len(self.terms), -1)
-        self.often[often] = np.arange(len(often))
-        self.block_most = np.zeros((len(often), self.blocks))
-        for i, t in enumerate(often.tolist()):
-            x, y = self.at[t], self.at[t + 1]
-            np.maximum.at(self.block_most[i], self.doc[x:y] // BLOCK, self.impact[x:y])
+        size = np.bincount(slot, minlength=len(self.terms))
+        often = size >= max(8, self.n // 16)
+        self.often = np.where(often, np.cumsum(often) - 1, -1)
+        wide = often[slot]
+        table = np.zeros((int(often.sum()), self.blocks * BLOCK), np.float32)
+        table[self.often[slot[wide]], rows[wide]] = impact[wide]
+        self.table = table.reshape(len(table), self.blocks, BLOCK)
+        self.block_most = self.table.max(axis=2) if len(table) else np.zeros((0, self.blocks), np.float32)
+        rare = np.flatnonzero(~wide)
+        rare = rare[np.argsort(slot[rare], kind="stable")]
+        self.doc, self.impact = rows[rare].astype(np.int32), impact[rare]
+        self.at = np.searchsorted(slot[rare], np.arange(len(self.terms) + 1))
         self.weight = np.zeros(len(self.terms))
 
     def search(self, terms: np.ndarray, idf: np.ndarray, theta: float, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) that reach theta, the best k and all that tie with the last; skip: documents left out."""
+        """(documents, scores): those that reach theta and may be among the best k, with their exact scores; skip: left out."""
         none = np.zeros(0, int), np.zeros(0)
         slot = np.searchsorted(self.terms, terms)
         slot[slot == len(self.terms)] = 0
@@ -137,48 +145,62 @@ class Shard:
         slot, idf = slot[here], idf[here]
         if not len(slot):
             return none
-        most = idf * self.most[slot]
-        order = np.argsort(most, kind="stable")
-        slot, idf, most = slot[order], idf[order], most[order]
-        need = theta * (1 - 1e-9)
-        rest = int(np.searchsorted(np.cumsum(most), need, side="left")) if theta > 0 else 0
-        if rest == len(slot):
-            return none
-        essential = slot[rest:]
-        x, n = self.at[essential], self.at[essential + 1] - self.at[essential]
+        row = self.often[slot]
+        x = self.at[slot]
+        n = self.at[slot + 1] - x
         spot = np.repeat(x - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        partial = np.bincount(self.doc[spot], np.repeat(idf[rest:], n) * self.impact[spot], self.n)
-        bound = partial.copy()
-        if rest:
-            other, w = slot[:rest], idf[:rest]
-            row = self.often[other]
-            block = w[row >= 0] @ self.block_most[row[row >= 0]] if (row >= 0).any() else np.zeros(self.blocks)
-            bound += np.repeat(block, BLOCK)[: self.n] + float(most[:rest][row < 0].sum())
-        bound[partial <= 0] = 0
-        bound[skip] = 0
-        live = np.flatnonzero((bound >= need) & (bound > 0))
-        if not len(live):
+        score = np.bincount(self.doc[spot], np.repeat(idf, n) * self.impact[spot], self.blocks * BLOCK).astype(np.float64).reshape(self.blocks, BLOCK)
+        if (row >= 0).any():
+            row, w = row[row >= 0], idf[row >= 0].astype(np.float32)
+            # a block counts only if its best document could reach the threshold
+            bound = score.max(axis=1) + w @ self.block_most[row]
+            live = np.flatnonzero((bound >= theta * (1 - MARGIN)) & (bound > 0))
+            if not len(live):
+                return none
+            if len(live) == self.blocks:
+                score += np.tensordot(w, self.table[row], 1)
+            else:
+                score[live] += np.tensordot(w, self.table[row[:, None], live[None, :]], 1)
+                dead = np.ones(self.blocks, bool)
+                dead[live] = False
+                score[dead] = 0
+        score = score.reshape(-1)[: self.n]
+        score[skip] = 0
+        need = theta
+        if np.count_nonzero(score) > k:
+            need = max(need, float(np.partition(score, self.n - k)[self.n - k]))
+        found = np.flatnonzero((score >= need * (1 - MARGIN)) & (score > 0))
+        if not len(found):
             return none
-        # full scores, each summed in the order of terms
+        # single precision has chosen; exact scores are summed in the order of terms
         self.weight[slot] = idf
-        x, n = self.f_at[live], self.f_at[live + 1] - self.f_at[live]
+        x, n = self.f_at[found], self.f_at[found + 1] - self.f_at[found]
         spot = np.repeat(x - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        score = np.bincount(np.repeat(np.arange(len(live)), n), self.weight[self.f_slot[spot]] * self.f_impact[spot], len(live))
+        exact = np.bincount(np.repeat(np.arange(len(found)), n), self.weight[self.f_slot[spot]] * self.f_impact[spot], len(found))
         self.weight[slot] = 0
-        good = score >= need
-        live, score = live[good], score[good]
-        if len(live) > k:
-            least = np.partition(score, len(score) - k)[len(score) - k]
-            live, score = live[score >= least], score[score >= least]
-        return live, score
+        good = exact >= theta
+        return found[good], exact[good]
 
 
 _theta: dict[str, np.ndarray] = {}
 
 
+_held: dict[str, tuple] = {}
+
+
+def _joined(run_id: str, sent: list) -> tuple:
+    """(ids, offsets, terms, weights) from the pieces that were sent; kept by the worker for its next task."""
+    if run_id not in _held:
+        _held.clear()
+        parts = [p.value for p in sent]
+        sizes = np.concatenate([p[1] for p in parts])
+        _held[run_id] = np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+    return _held[run_id]
+
+
 def _searched(docs: DataFrame, sent, run_id: str, mean: float, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, at, terms, idf = sent.value
+        ids, at, terms, idf = _joined(run_id, sent)
         if run_id not in _theta:
             _theta.clear()
             _theta[run_id] = np.zeros(len(ids))
@@ -216,17 +238,18 @@ def top_documents(spark: SparkSession, docs: DataFrame, queries: DataFrame, k: i
     idf = F.log(1 + (F.lit(float(n)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     pairs = scratch.put(_terms(queries).join(df.where("kind = 0").select("term", "n"), "term").select("query_id", "term", idf.alias("idf")), "queries")
     total = pairs.count()
-    blocks = total // QUERY_PAIRS + 1
+    passes = total // PASS_PAIRS + 1
+    pieces = passes * (min(total, PASS_PAIRS) // PIECE_PAIRS + 1)
     found = None
-    for block in range(blocks):
-        # a block holds QUERY_PAIRS on average, and every term of its queries
-        part = pairs if blocks == 1 else pairs.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        got = part.toPandas()
-        q, term, weight = got["query_id"].to_numpy(np.int64), got["term"].to_numpy(np.int64).view(np.uint64), got["idf"].to_numpy(np.float64)
-        order = np.lexsort((term, q))
-        q, term, weight = q[order], term[order], weight[order]
-        ids, at = np.unique(q, return_index=True)
-        sent = spark.sparkContext.broadcast((ids, np.concatenate([at, [len(q)]]), term, weight))
+    for at in range(passes):
+        sent = []
+        for piece in range(at, pieces, passes):
+            # a piece holds PIECE_PAIRS on average, and every term of its queries
+            got = pairs.where(F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == piece).toArrow()
+            q, term, weight = (np.asarray(c.combine_chunks()) for c in got.columns)
+            order = np.lexsort((term.view(np.uint64), q))
+            ids, sizes = np.unique(q, return_counts=True)
+            sent.append(spark.sparkContext.broadcast((ids, sizes, term[order].view(np.uint64), weight[order])))
         one = _searched(docs, sent, uuid.uuid4().hex, mean, k)
         found = one if found is None else found.unionAll(one)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))

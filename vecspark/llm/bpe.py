@@ -272,36 +272,27 @@ def _each(path: str, batches: Iterator[pa.RecordBatch], column: int) -> Iterator
             yield batch.slice(at, len(texts)), out
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "ids") -> DataFrame:
-    """docs with a column of token ids; a column of that name is replaced."""
-    names = [c for c in docs.columns if c != into]
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids: str = "ids", count: str = "n_tokens", digest: str = "decoded_sha256") -> DataFrame:
+    """docs with columns of token ids, their number, and the SHA-256 of the text that they decode to.
+
+    Columns of these names are replaced. One pass does all three, so a task holds one encoder.
+    """
+    made = (ids, count, digest)
+    names = [c for c in docs.columns if c not in made]
     frame = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, out in _each(path, batches, len(names)):
-            at = np.concatenate([[0], np.cumsum([len(b) // 4 for b, _ in out])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join([b for b, _ in out]), "<i4")))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*names, into])
+            n = np.array([len(b) // 4 for b, _ in out], np.int64)
+            at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join([b for b, _ in out]), "<i4")))
+            decoded = pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in out], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(n), decoded], names=[*names, *made])
 
-    schema = StructType([*frame.drop("__text").schema.fields]).add(into, ArrayType(IntegerType()))
+    schema = StructType([*frame.drop("__text").schema.fields]).add(ids, ArrayType(IntegerType())).add(count, "long").add(digest, "string")
     return frame.mapInArrow(run, schema)
 
 
-def with_decoded_digest(docs: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded_sha256") -> DataFrame:
-    """docs with the SHA-256 of the text that a column of token ids decodes to."""
-    names = [c for c in docs.columns if c != into]
-    frame = docs.select(*names)
-    where = names.index(ids_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        for b in batches:
-            got = [hashlib.sha256(own.decode(x or ()).encode()).hexdigest() for x in b.column(where).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*names, into])
-
-    return frame.mapInArrow(run, StructType([*frame.schema.fields]).add(into, "string"))
-
-
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) by row."""
 
