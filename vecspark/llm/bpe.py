@@ -9,8 +9,8 @@ higher rank, so this order gives each piece what merging it alone would.
 The encoder follows `word_bpe_49k.json`: NFC, white space collapsed, lower case by
 character; runs of letters, single digits, runs of other characters and English
 contractions; bytes as printable characters; `</w>` on a piece's last symbol. The two
-special strings are found in the raw text first. Pieces never span white space, so
-white-space-delimited chunks are encoded once each and kept in a bounded cache.
+special strings are found in the raw text first. Pieces never span white space, so each
+distinct white-space-delimited chunk of a run of texts is encoded once.
 
 Null texts are empty and give no tokens. Rows are independent: repeated ids and ties
 keep one output row each.
@@ -21,13 +21,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,14 +38,17 @@ from vecspark.llm import textkernel as K
 from vecspark.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 500_000
+#: Pieces whose ids a worker keeps.
+CACHE = 100_000
+#: Text bytes that are encoded together.
+SLICE_BYTES = 4 << 20
 #: Merge ranks below this have long position lists, merged with array operations.
 FREQUENT = 3000
 _WS = r"\x09-\x0d\x20\x85\xa0  -     　"
-_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+")
+_PIECES = regex.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+")
 _SPACES = regex.compile(rf"[{_WS}]+")
 #: Characters that str.split() takes for white space and the tokenizer does not.
-_ODD = regex.compile(r"[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 def default_tokenizer() -> str:
@@ -65,7 +69,7 @@ def byte_characters() -> list[str]:
 class Encoder:
     """One tokenizer file; encode() and decode() take whole texts."""
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, limit: int = CACHE):
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -88,16 +92,17 @@ class Encoder:
         none = -1
         self._byte = np.array([self.vocab.get(c, none) for c in chars], np.int64)
         self._last = np.array([self.vocab.get(c + self.suffix, none) for c in chars], np.int64)
-        self.limit = cache
-        self._known: dict[str, tuple[bytes, str]] = {}
+        self._strings = pa.array([self.token.get(i) for i in range(self.size)], pa.string())
+        self.limit = limit
+        self._known: dict[str, bytes] = {}
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """The token ids of each piece; all pieces share one pair occurrence index."""
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids): the token ids of each piece; all pieces share one pair occurrence index."""
         size = np.array([len(p) for p in pieces], np.int64)
         data = np.frombuffer(b"".join(pieces), np.uint8)
         n = len(data)
         if not n:
-            return [[] for _ in pieces]
+            return np.zeros(len(pieces) + 1, np.int64), np.zeros(0, np.uint32)
         ends = np.cumsum(size)
         stop = np.zeros(n, bool)
         stop[ends[size > 0] - 1] = True
@@ -194,59 +199,127 @@ class Encoder:
                             heapq.heappush(active, s)
         left = np.array(sym, np.int64)
         kept = left >= 0
-        counts = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends])]
-        flat = left[kept].tolist()
-        return [flat[x:y] for x, y in zip(counts[:-1].tolist(), counts[1:].tolist(), strict=True)]
+        return np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends])], left[kept].astype(np.uint32)
 
     def _parts(self, chunk: str) -> list[bytes | int]:
-        """A chunk's pieces, with special strings as their ids."""
-        if chunk.isascii() and chunk.isalpha():
-            return [chunk.lower().encode()]
+        """The pieces of a chunk that holds special strings, those as their ids."""
         out: list[bytes | int] = []
         at = 0
-        for m in self._special.finditer(chunk) if self._special and "<|" in chunk else ():
-            out += self._pieces(chunk[at : m.start()])
+        for m in self._special.finditer(chunk) if self._special else ():
+            out += [p.encode() for p in pieces(folded(chunk[at : m.start()]))]
             out.append(self.special[m[0]])
             at = m.end()
-        return out + self._pieces(chunk[at:])
+        return out + [p.encode() for p in pieces(folded(chunk[at:]))]
 
     @staticmethod
-    def _pieces(text: str) -> list[bytes]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return [p.encode() for p in _PIECES.findall(text.lower())]
-
-    def chunks(self, text: str) -> list[str]:
-        if _ODD.search(text):
+    def chunks(text: str) -> list[str]:
+        if any(c in text for c in _ODD):
             return [c for c in _SPACES.split(text) if c]
         return text.split()
 
-    def learn(self, chunks: Iterable[str]) -> dict[str, tuple[bytes, str]]:
-        """The cache with at least these chunks: ids as little-endian uint32, and decoded text."""
-        wanted = set(chunks)
-        new = [c for c in wanted if c not in self._known]
-        if len(self._known) + len(new) > self.limit:
-            self._known, new = {}, list(wanted)
-        parts = [self._parts(c) for c in new]
-        distinct = list({p for x in parts for p in x if isinstance(p, bytes)})
-        ids = dict(zip(distinct, self.merge(distinct), strict=True))
-        token, pack = self.token, [struct.Struct(f"<{i}I").pack for i in range(32)]
-        for c, x in zip(new, parts, strict=True):
-            if len(x) == 1 and isinstance(x[0], bytes):
-                one = ids[x[0]]
-            else:
-                one = [i for p in x for i in (ids[p] if isinstance(p, bytes) else (p,))]
-            self._known[c] = (pack[len(one)](*one) if len(one) < 32 else np.array(one, "<u4").tobytes(), " ".join([token[i] for i in one]))
-        return self._known
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of distinct pieces. The first ones that come stay in a cache of bounded size."""
+        known = self._known
+        new = [p for p in pieces if p not in known]
+        at, ids = self.merge([p.encode() for p in new])
+        if len(new) == len(pieces):
+            out = at, ids
+        else:
+            data, at = ids.tobytes(), (at * 4).tolist()
+            own = {p: data[x:y] for p, x, y in zip(new, at[:-1], at[1:], strict=True)}
+            got = [known[p] if p in known else own[p] for p in pieces]
+            out = offsets([len(x) // 4 for x in got]), np.frombuffer(b"".join(got), "<u4")
+        for i, p in enumerate(new[: max(0, self.limit - len(known))]):
+            known[p] = ids[slice(*(out[0][i : i + 2]))].tobytes() if len(new) == len(pieces) else own[p]
+        return out
+
+    def _of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of distinct chunks; one regular expression and one merge serve all of them."""
+        special = [i for i, c in enumerate(chunks) if "<|" in c]
+        plain = chunks
+        if special:
+            plain = chunks.copy()
+            for i in special:
+                plain[i] = ""
+        found = pa.array(pieces(folded("\n".join(plain))), pa.string()).dictionary_encode()
+        code, distinct = found.indices.to_numpy(), found.dictionary.to_pylist()
+        end = distinct.index("\n") if "\n" in distinct else -1
+        chunk = np.cumsum(code == end)[code != end]
+        at, ids = self._learn([p for p in distinct if p != "\n"])
+        code = code[code != end]
+        code = code - (code > end) if end >= 0 else code
+        size = np.diff(at)[code]
+        flat = gathered(ids, at[code], size)
+        n = np.bincount(chunk, size, len(chunks)).astype(np.int64)
+        start = offsets(n)[:-1]
+        for i in special:
+            own = [x for p in self._parts(chunks[i]) for x in (self.merge([p])[1].tolist() if isinstance(p, bytes) else [p])]
+            start[i], n[i] = len(flat), len(own)
+            flat = np.concatenate([flat, np.array(own, flat.dtype)])
+        return np.stack([start, n]), flat
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids): the token ids of all texts, one text after the other."""
+        chunks = [self.chunks(t) if t else [] for t in texts]
+        at = offsets([len(c) for c in chunks])
+        coded = pa.array([c for x in chunks for c in x], pa.string()).dictionary_encode()
+        (start, n), flat = self._of_chunks(coded.dictionary.to_pylist())
+        each = coded.indices.to_numpy()
+        return offsets(n[each])[at], gathered(flat, start[each], n[each])
+
+    def decode_all(self, at: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The text of each run of ids: tokens joined by single spaces, as the file has no decoder; unknown ids are left out."""
+        known = np.zeros(len(ids), bool)
+        small = ids < len(self._strings)
+        known[small] = self._strings.is_valid().to_numpy(zero_copy_only=False)[ids[small]]
+        if not known.all():
+            at, ids = np.concatenate([[0], np.cumsum(known)])[at], ids[known]
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), self._strings.take(pa.array(ids))), " ")
 
     def encode(self, text: str | None) -> list[int]:
-        chunks = self.chunks(text or "")
-        known = self.learn(chunks)
-        return np.frombuffer(b"".join([known[c][0] for c in chunks]), "<u4").tolist()
+        return self.encode_all([text])[1].tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
-        """Tokens joined by single spaces, as the file has no decoder; unknown ids are left out."""
-        return " ".join([self.token[i] for i in ids if i in self.token])
+        ids = np.array(list(ids), np.uint32)
+        return self.decode_all(np.array([0, len(ids)]), ids)[0].as_py()
+
+
+@cache
+def _newer() -> tuple[frozenset[str], regex.Pattern]:
+    """Letters and digits that the tokenizer's Unicode tables do not have yet; the pieces without them."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    new = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    heads = [c for c, before in zip(new, [-2, *new], strict=False) if c != before + 1]
+    tails = [c for c, after in zip(new, [*new[1:], -1], strict=True) if c != after - 1]
+    own = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(heads, tails, strict=True))
+    if not own:
+        return frozenset(), _PIECES
+    return frozenset(map(chr, new)), regex.compile(
+        rf"(?V1)\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{own}]]+|[\p{{N}}--[{own}]]|(?:[^{_WS}\p{{L}}\p{{N}}]|[{own}])+"
+    )
+
+
+def pieces(text: str) -> list[str]:
+    """The pieces of a folded text, with its line ends."""
+    if not text.isascii():
+        new, without = _newer()
+        if not new.isdisjoint(set(text)):
+            return without.findall(text)
+    return _PIECES.findall(text)
+
+
+def folded(text: str) -> str:
+    """NFC, then lower case by character (without the final sigma)."""
+    return (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+
+
+def offsets(sizes: list[int] | np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at start, one after the other."""
+    return flat[np.repeat(start - offsets(size)[:-1], size) + np.arange(int(size.sum()))]
 
 
 _loaded: dict[str, Encoder] = {}
@@ -259,17 +332,14 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def _each(path: str, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, str]]]]:
+def _each(path: str, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str]]]:
+    """(rows, offsets, ids, digests of the decoded texts), by runs of rows."""
     own = encoder(path)
     for batch in batches:
-        for at, texts in K.slices(batch.column(column), 16 << 20):
-            chunks = [own.chunks(t or "") for t in texts.to_pylist()]
-            known = own.learn(c for x in chunks for c in x)
-            out = []
-            for x in chunks:
-                got = [known[c] for c in x]
-                out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
-            yield batch.slice(at, len(texts)), out
+        for at, texts in K.slices(batch.column(column), SLICE_BYTES):
+            places, ids = own.encode_all(texts.to_pylist())
+            decoded = [hashlib.sha256(t.as_buffer() if t.is_valid else b"").hexdigest() for t in own.decode_all(places, ids)]
+            yield batch.slice(at, len(texts)), places, ids, decoded
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids: str = "ids", count: str = "n_tokens", digest: str = "decoded_sha256") -> DataFrame:
@@ -282,12 +352,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids: str = "ids",
     frame = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, out in _each(path, batches, len(names)):
-            n = np.array([len(b) // 4 for b, _ in out], np.int64)
-            at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join([b for b, _ in out]), "<i4")))
-            decoded = pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in out], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(n), decoded], names=[*names, *made])
+        for batch, at, tokens, decoded in _each(path, batches, len(names)):
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens.view("<i4")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(np.diff(at)), pa.array(decoded, pa.string())], names=[*names, *made])
 
     schema = StructType([*frame.drop("__text").schema.fields]).add(ids, ArrayType(IntegerType())).add(count, "long").add(digest, "string")
     return frame.mapInArrow(run, schema)
@@ -297,16 +364,9 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, out in _each(path, batches, 1):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(b) // 4 for b, _ in out], pa.int64()),
-                    pa.array([hashlib.sha256(b).hexdigest() for b, _ in out]),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in out]),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        for batch, at, tokens, decoded in _each(path, batches, 1):
+            own = [hashlib.sha256(tokens[x:y]).hexdigest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(own, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return frame.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
