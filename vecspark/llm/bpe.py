@@ -12,7 +12,8 @@ contractions; bytes as printable characters; `</w>` on a piece's last symbol. Th
 special strings are found in the raw text first. Pieces never span white space, so each
 distinct white-space-delimited chunk of a run of texts is encoded once.
 
-Null texts are empty and give no tokens. Rows are independent: repeated ids and ties
+Code points that the Unicode tables of this Python do not know are split as symbols and keep
+their case. Null texts are empty and give no tokens. Rows are independent: repeated ids and ties
 keep one output row each.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from vecspark.llm import textkernel as K
-from vecspark.llm.common import read
+from vecspark.llm.common import free_name, read
 
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces whose ids a worker keeps.
@@ -349,14 +350,15 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids: str = "ids",
     """
     made = (ids, count, digest)
     names = [c for c in docs.columns if c not in made]
-    frame = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
+    own = free_name(names, "__text")
+    frame = docs.select(*names, F.col(text_col).cast("string").alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at, tokens, decoded in _each(path, batches, len(names)):
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens.view("<i4")))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(np.diff(at)), pa.array(decoded, pa.string())], names=[*names, *made])
 
-    schema = StructType([*frame.drop("__text").schema.fields]).add(ids, ArrayType(IntegerType())).add(count, "long").add(digest, "string")
+    schema = StructType([*frame.drop(own).schema.fields]).add(ids, ArrayType(IntegerType())).add(count, "long").add(digest, "string")
     return frame.mapInArrow(run, schema)
 
 

@@ -64,6 +64,14 @@ def _cleanup() -> None:
             return
 
 
+def free_name(names: list[str], wanted: str) -> str:
+    """wanted, with underscores before it until no column has that name (in any case)."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df, broadcast if its counted rows stay within the limit; else it is left to a shuffle join."""
     return F.broadcast(df) if rows <= limit else df

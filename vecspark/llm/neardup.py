@@ -295,7 +295,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, id_
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: of each group, those with its smallest doc_id; rows without words stay."""
+    """The rows of docs that stay: of each group, those with its smallest doc_id.
+
+    Rows without words and rows without doc_id stay; rows that repeat a doc_id go or stay together.
+    """
     gone = near_duplicates(spark, docs, percent).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

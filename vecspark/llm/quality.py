@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vecspark.llm import textkernel as K
-from vecspark.llm.common import read
+from vecspark.llm.common import free_name, read
 
 #: Labelled rows that the trees are fitted on, at most.
 SAMPLE = 20_000
@@ -214,25 +214,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
 
 def scored(spark: SparkSession, docs: DataFrame, trees: Trees) -> DataFrame:
-    """docs with its score in a column __score."""
+    """docs with its score in a last column, score (with underscores before it if docs has one of that name)."""
     sent = spark.sparkContext.broadcast(trees)
     names = docs.columns
+    score_col, text_col = free_name(names, "score"), free_name(names, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in K.slices(b.column(len(names))):
                 score = sent.value.score(statistics(texts))
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in b.columns[:-1]), pa.array(score)], names=[*names, "__score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in b.columns[:-1]), pa.array(score)], names=[*names, score_col])
 
-    return docs.select(*[F.col(c) for c in names], F.col("text").cast("string").alias("__text")).mapInArrow(run, StructType([*docs.schema.fields]).add("__score", "double"))
+    return docs.select(*[F.col(c) for c in names], F.col("text").cast("string").alias(text_col)).mapInArrow(run, StructType([*docs.schema.fields]).add(score_col, "double"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier does not reject, with their columns as they were."""
-    return scored(spark, docs, train(docs, labels)).where(F.col("__score") >= threshold).select(docs.columns)
+    out = scored(spark, docs, train(docs, labels))
+    return out.where(F.col(out.columns[-1]) >= threshold).select(docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = scored(spark, docs.select("doc_id", "text"), train(docs, read(spark, sf_dir, "labels")))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
