@@ -54,24 +54,24 @@ def test_running_statistics():
     assert s.std[0] == pytest.approx(math.sqrt((s2 - m1) * (s2 - m2) / 2), abs=1e-5)
 
 
-def test_vote_wins_where_the_best_cluster_refuses():
+def strict_and_lenient(neighbours):
+    """Cluster 100 is nearest to the item but, far above the mean cohesion, strict; cluster 200 is lenient."""
     s = K.Clusters(top_k=4)
-    # cluster 0 is nearest but strict, cluster 1 is lenient and holds the neighbours
-    s.ids, s.protos, s.size = [100, 200], [np.float32([1, 0]), np.float32([0.8, 0.6])], [50, 1]
-    s.mean, s.std, s.labels = [np.float32(0.999), np.float32(0.3)], [np.float32(0), np.float32(0)], [None, None]
+    low = [300, 301, 302, 303, 304, 305, 306, 307, 308]
+    s.ids = [100, 200, *low]
+    s.protos = [np.float32([1, 0]), np.float32([0.8, 0.6]), *[np.float32([-1, 0])] * len(low)]
+    s.size, s.labels = [50, 1, *[50] * len(low)], [None] * (2 + len(low))
+    s.mean = [np.float32(0.999), np.float32(0.3), *[np.float32(0.01)] * len(low)]
+    s.std = [np.float32(0)] * (2 + len(low))
     v = kernels.normalize(np.float32([1, 0.3]))
-    s.seen_ids, s.seen = [1, 2, 3], [v, v, v]
-    s.assigned = {1: 200, 2: 200, 3: 200}
+    s.seen_ids, s.seen, s.assigned = neighbours, [v] * len(neighbours), dict.fromkeys(neighbours, 200)
     s.add([(9, v)])
-    assert s.assigned[9] == 200
-    alone = K.Clusters(top_k=4)
-    alone.__dict__.update({k: list(x) if isinstance(x, list) else dict(x) if isinstance(x, dict) else x for k, x in s.__dict__.items()})
-    alone.seen_ids, alone.seen, alone.assigned = [1], [v], {1: 200}  # too few votes
-    alone.size, alone.mean = [50, 1], [np.float32(0.999), np.float32(0.3)]
-    alone.protos = [np.float32([1, 0]), np.float32([0.8, 0.6])]
-    alone.std = [np.float32(0), np.float32(0)]
-    alone.add([(10, v)])
-    assert alone.assigned[10] == 10
+    return s
+
+
+def test_vote_wins_where_the_best_cluster_refuses():
+    assert strict_and_lenient([1, 2, 3]).assigned[9] == 200
+    assert strict_and_lenient([1]).assigned[9] == 9  # too few votes
 
 
 def test_adaptive_threshold():
