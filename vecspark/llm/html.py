@@ -65,8 +65,12 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "for
 _MASK = (1 << 63) - 1
 
 
+#: The host of a url; read alike by Python and by Spark.
+HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9_+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
+
+
 def host(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
+    m = re.match(HOST, url or "", re.A)
     return m[1].lower() if m else ""
 
 
@@ -260,7 +264,7 @@ def main_texts(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     if hosts:
         # the same host that host() reads from a url
-        own = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+        own = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
         pages = pages.withColumn("host", own).join(small_side(low, rows + hosts, BRANCH_ROWS), "host", "left").select("page_id", "url", "html", "low")
     else:
         pages = pages.withColumn("low", F.lit(None).cast("array<long>"))
