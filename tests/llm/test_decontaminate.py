@@ -61,6 +61,13 @@ def test_whole_table(spark):
     assert got == sorted(brute(docs, items), key=repr) and any(r[3] for r in got)
 
 
+def test_repeated_rows_in_several_parts(spark):
+    docs = [(1, "a b c d e f g h i"), (1, "a b c d e f g h i"), (1, "x"), (None, "b c d e f g h i j"), (None, None), (None, None)]
+    items = [(i, t) for i, t in enumerate(["a b c d e f g h", "b c d e f g h i j", "x"])]
+    got = D.contamination(spark, documents(spark, docs), spark.createDataFrame(items, ITEM), part_bytes=8)
+    assert rows_of(got, "doc_id", "n_words", "n_hit", "n_items") == sorted([(1, 9, 9, 2), (1, 9, 9, 2), (1, 1, 1, 1), (None, 9, 9, 1), (None, 0, 0, 0), (None, 0, 0, 0)], key=repr)
+
+
 def test_messy_rows(spark, messy):
     items = spark.createDataFrame([(1, prose(2, 40)), (None, prose(1, 80)), (2, None), (3, "one two"), (3, "one two")], ITEM).selectExpr("*", "'x' AS doc_id")
     got = rows_of(D.contamination(spark, messy, items), "doc_id", "n_words", "n_hit", "n_items")

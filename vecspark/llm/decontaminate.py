@@ -12,8 +12,8 @@ counted first: up to `PATTERN_BYTES` they are broadcast whole; beyond it the ben
 is searched in parts of that size, and the hits of the parts are merged by document.
 
 Null or word-less documents have no words and no hits; null or word-less items have no
-window. Repeated rows keep one output row each if their doc_id differs; rows that share a
-doc_id are told apart by their text only while one part suffices.
+window. Every row of docs gives one row, repeated rows too: the hits of several parts are merged by
+doc_id and a hash of the text, and given back as often as the row was there.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ _built: dict[str, list[Matcher]] = {}
 
 
 def _search(docs: DataFrame, items, key: str, window: int, spans: bool) -> DataFrame:
-    """docs has the columns doc_id and text; items is a broadcast list of (item_id, text)."""
+    """docs has the columns doc_id, text and digest; items is a broadcast list of (item_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _built:
@@ -129,11 +129,11 @@ def _search(docs: DataFrame, items, key: str, window: int, spans: bool) -> DataF
                     found.append(sorted(got))
                     where.append([] if mark is None else np.flatnonzero(mark).tolist() if spans else [])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(where, pa.list_(pa.int32()))],
-                    names=["doc_id", "n_words", "n_hit", "items", "hit_words"],
+                    [batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(where, pa.list_(pa.int32())), batch.column(2).slice(at, len(texts))],
+                    names=["doc_id", "n_words", "n_hit", "items", "hit_words", "digest"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, hit_words array<int>")
+    return docs.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, hit_words array<int>, digest long")
 
 
 def contamination(
@@ -143,6 +143,7 @@ def contamination(
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.withColumn("digest", F.xxhash64("text"))
     parts = int(total // part_bytes) + 1
     found = None
     for part in range(parts):
@@ -152,11 +153,13 @@ def contamination(
         one = _search(docs, sent, f"{id(sent)}-{sent._jbroadcast.id() if sent._jbroadcast else part}", window, parts > 1)
         found = one if found is None else found.unionAll(one)
     if parts > 1:
-        found = found.groupBy("doc_id").agg(
+        found = found.groupBy("doc_id", "digest").agg(
+            (F.count("*") / parts).cast("int").alias("copies"),
             F.max("n_words").alias("n_words"),
             F.size(F.array_distinct(F.flatten(F.collect_list("hit_words")))).cast("long").alias("n_hit"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         )
+        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     n = F.size("items").cast("long")
     return found.select(
         "doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n >= least_items).alias("contaminated"), "items"
