@@ -1,4 +1,4 @@
-"""Gives executors this package, wherever the driver found it."""
+"""Gives executors this package, wherever the driver found it, and bounds what a Python worker is sent at once."""
 
 from __future__ import annotations
 
@@ -9,11 +9,16 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch, so that a worker's memory does not follow the length of texts; a session's own setting stays.
+BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Adds the package to the Python path of the session's executors, once an application."""
+    for key, value in BATCH_BYTES.items():
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
