@@ -60,3 +60,11 @@ def test_messy_rows(spark, messy):
     assert rows_of(got, "doc_id", "license", "exact") == [(6, "MIT", True)]
     assert L.license_scan(messy.where("false")).count() == 0
     assert rows_of(L.license_scan(documents(spark, ["All rights reserved."]), {"own": "All rights reserved."}), "license") == [("own",)]
+
+
+def test_wrapped_and_long_wordings_are_found_whole(own):
+    cc0 = L.TEMPLATES["CC0-1.0"].replace("law, the", "law,\nthe")
+    assert [(f[0], f[4]) for f in L.scan(own, f"{prose(1, 30)}\n{cc0}\n{prose(2, 30)}")] == [("CC0-1.0", "")]
+    full = " ".join(f"{prose(100 + i, 5)} license" for i in range(260))
+    for before in (0, 500, 1100):
+        assert [(f[0], f[4]) for f in L.scan(L.load({"full": full}), f"{prose(3, before)} {full} {prose(4, 300)}")] == [("full", "")]

@@ -15,6 +15,7 @@ one (load() checks this). Null and empty texts have no findings; rows are indepe
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -83,6 +84,8 @@ class Template:
     name: str
     words: tuple[str, ...]
     compressor: zstandard.ZstdCompressor
+    #: Words that a wording may have in a row without a license word.
+    reach: int
 
 
 def words_of(text: str) -> list[str]:
@@ -93,10 +96,14 @@ def load(templates: dict[str, str]) -> list[Template]:
     out = []
     for name, text in templates.items():
         own = words_of(text)
-        if sum(has_key(w) for w in own) <= int(TOLERANCE * len(own)):
+        allowed = int(TOLERANCE * len(own))
+        keys = [i for i, w in enumerate(own) if has_key(w)]
+        if len(keys) <= allowed:
             raise ValueError(f"{name}: too few of its words mark a candidate line")
+        marks = [-1, *keys, len(own)]
+        reach = max(b - a for a, b in zip(marks, [*marks[allowed + 1 :], *[len(own)] * (allowed + 1)], strict=True)) + allowed
         kind = zstandard.ZstdCompressionDict(" ".join(own).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out.append(Template(name, tuple(own), zstandard.ZstdCompressor(level=3, dict_data=kind, write_content_size=False, write_dict_id=False)))
+        out.append(Template(name, tuple(own), zstandard.ZstdCompressor(level=3, dict_data=kind, write_content_size=False, write_dict_id=False), reach))
     return out
 
 
@@ -122,6 +129,26 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         yield open_[0], open_[1]
 
 
+def parts(templates: list[Template], text: str) -> Iterator[list[tuple[str, int, int]]]:
+    """The (word, start, end) of the candidate blocks, with the words around them that a wording may have outside key lines."""
+    if not has_key(text):
+        return
+    spans = [(m[0].lower(), m.start(), m.end()) for m in _ANY_CASE.finditer(text)]
+    starts = [s for _, s, _ in spans]
+    reach = max(t.reach for t in templates)
+    merged: list[list[int]] = []
+    for x, y in blocks(text):
+        low, high = max(0, bisect.bisect_left(starts, x) - reach), bisect.bisect_left(starts, y) + reach
+        if merged and low <= merged[-1][1]:
+            merged[-1][1] = high
+        else:
+            merged.append([low, high])
+    for low, high in merged:
+        yield spans[low:high]
+    for x, y in blocks(text):  # then alone, as short templates save too little of a wide block
+        yield spans[bisect.bisect_left(starts, x) : bisect.bisect_left(starts, y)]
+
+
 def ranked(templates: list[Template], words: list[str]) -> list[tuple[float, Template]]:
     """Templates by the share of the block's compressed size that they save."""
     data = " ".join(words).encode()
@@ -159,11 +186,11 @@ def confirm(template: Template, words: list[str]) -> Match | None:
 def scan(templates: list[Template], text: str) -> list[tuple[str, int, int, float, str]]:
     """(license, start, end, gain, differences) of the confirmed licenses, in order; characters of text."""
     out = []
-    for x, y in blocks(text):
-        spans = [(m[0].lower(), x + m.start(), x + m.end()) for m in _ANY_CASE.finditer(text[x:y])]
-        step = BLOCK_WORDS // 2
-        todo = [spans[i : i + BLOCK_WORDS] for i in range(0, max(1, len(spans) - step), step)]
-        seen: set[tuple[int, int]] = set()
+    # every wording lies within one of the overlapping windows
+    step = max(BLOCK_WORDS // 2, *(len(t.words) + int(TOLERANCE * len(t.words)) for t in templates))
+    seen: set[tuple[int, int]] = set()
+    for spans in parts(templates, text):
+        todo = [spans[i : i + 2 * step] for i in range(0, max(1, len(spans) - step), step)]
         while todo:
             part = todo.pop()
             own = [w for w, _, _ in part]
