@@ -1,4 +1,10 @@
+import math
 import random
+import time
+from collections import defaultdict
+from html.parser import HTMLParser
+
+import pytest
 
 from llm_helpers import rows_of
 from vecspark.llm import html as H
@@ -66,3 +72,120 @@ def test_messy_rows(spark):
     got = rows_of(H.main_texts(spark, df), "page_id", "text", "n_chars")
     assert got.count((1, "", 0)) == 2 and (None, "a", 1) in got and (2, "", 0) in got and (3, ("long " * 300_000).strip(), 1_499_999) in got
     assert H.main_texts(spark, df.where("false")).count() == 0
+
+
+class Articles(HTMLParser):
+    """Brute force for pages whose text is what stands in <article> elements."""
+
+    BLOCKS = {"article", "h1", "h2", "p", "ul", "li", "div"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.blocks += [""] if tag in self.BLOCKS else []
+        self.blocks[-1] += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.blocks += [""] if tag in self.BLOCKS else []
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.depth else ""
+
+
+def test_whole_table_against_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        p = Articles()
+        p.feed(r["html"] or "")
+        p.close()
+        want[r["page_id"]] = "\n".join(t for b in p.blocks if (t := " ".join(b.split())))
+    got = {r["page_id"]: r["text"] for r in H.op3_html_extract(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and len(got) == pages.count()
+
+
+def test_the_tree_alone_knows_the_frames_of_a_large_site(spark):
+    """Without names: menus, adverts and footers of a large host go, articles stay; without the tree they all stay.
+
+    The pages are the table's largest host, with the frames of its first four pages around all its articles.
+    """
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("url LIKE '%//blog.tionsh.example.com/%'").orderBy("page_id").collect()
+    cut = [(r["html"].partition("<article>"), r["html"].rpartition("</article>")) for r in rows]
+    rows = [(r["page_id"], r["url"], cut[i % 4][0][0] + "<article>" + r["html"].split("<article>")[1].split("</article>")[0] + "</article>" + cut[i % 4][1][2]) for i, r in enumerate(rows)]
+    pages = spark.createDataFrame(rows, PAGE)
+    texts = lambda **how: {r["page_id"]: r["text"] for r in H.main_texts(spark, pages, **how).collect()}
+    whole, tree, neither = texts(), texts(names=False), texts(tree=False, names=False)
+    assert len(whole) > 300 and tree == whole
+    assert all(len(neither[i]) > len(whole[i]) and whole[i] in neither[i] for i in whole)
+
+
+def test_importances_against_brute_force(spark):
+    r = random.Random(5)
+    rows = [(i, f"http://{r.choice('ab')}.example/{i}", "<body>" + "".join(f"<div class={r.choice('xyz')}><p>{r.choice(['same', f'own {i}', 'two'])}<ul><li>{r.randrange(3)}</ul></div>" for _ in range(r.randrange(1, 5))) + f"<b>{i}</b></body>") for i in range(60)]
+    got = {(x["host"], x["branch"]): x for x in H.importances(H.Scratch(spark), spark.createDataFrame(rows, PAGE).repartition(5)).collect()}
+    has, content, shape, chains = (defaultdict(set) for _ in range(4))
+    for _, url, source in rows:
+        page = H.Page(source)
+        own, copies = H.host(url), page.copies()
+        for b in page.blocks:
+            has[own, b.node].add(copies)
+            content[own, b.node, b.text].add(copies)
+            links = b.chain
+            while links:
+                chains[own, b.node].add(links[0])
+                links = links[1]
+        for n, c in page.children.items():
+            shape[own, n, c].add(copies)
+    for (own, branch), x in got.items():
+        score, total, m = 0.0, 0, 0
+        for (h, leaf), above in chains.items():
+            if h == own and branch in above:
+                n = [len(v) for (a, b, _), v in content.items() if (a, b) == (h, leaf)]
+                size = len(has[h, leaf])
+                m = max(m, size)
+                score += sum(1 - math.log(k) / math.log(size) if size > 1 else 1 for k in n)
+                total += len(n)
+        n = [len(v) for (a, b, _), v in shape.items() if (a, b) == (own, branch)]
+        p = 1 - sum(k * math.log(k) for k in n) / sum(n) / math.log(sum(n)) if sum(n) > 1 else 0.0
+        assert (x["m"], x["importance"]) == (m, pytest.approx(0.9 * score / total + 0.1 * p))
+    assert {k for k in has} <= set(got)
+
+
+def test_what_a_site_repeats_within_its_articles_goes_and_copies_stay(spark):
+    r = random.Random(3)
+    own = [[" ".join(f"w{r.randrange(10**6)}" for _ in range(20)) for _ in range(3)] for _ in range(40)]
+    own += [own[0]] * 30  # one article on many pages
+    page = "<body><article><h1>{}</h1><p>{}</p><p>{}</p><div class='q'><p>Tell your friends</p><p>Send it on</p></div><h2>More</h2></article></body>"
+    rows = [(i, "http://x.example/", page.format(*a)) for i, a in enumerate(own)]
+    df = spark.createDataFrame(rows, PAGE)
+    for tree in (True, False):
+        got = {x["page_id"]: x["text"] for x in H.main_texts(spark, df, tree=tree).collect()}
+        for i, a in enumerate(own):
+            assert got[i] == "\n".join([*a, *([] if tree else ["Tell your friends", "Send it on"]), "More"])
+
+
+def test_names_of_classes():
+    for label in ("has-sidebar", "no-sidebar", "long-form", "social-policy", "search-result-page", "article-header", "loading", "adventure", "header-image-story"):
+        assert H.names_noise(label) == 0, label
+    for label in ("ad", "site-footer", "sideBar", "comment-list", "main-nav", "cookie-notice", "site-header", "search-form", "x share-bar"):
+        assert H.names_noise(label), label
+    article = "<article class='long-form'><h1>A</h1><p>b</p></article>"
+    assert H.extract(f"<div class='page banner'>{article}</div>") == "A\nb" and H.extract(f"<div class=banner>x</div>{article}") == "A\nb"
+    assert H.extract(f"{article}<section class=comments><article>nice</article></section>") == "A\nb"
+
+
+def test_no_story_is_lost_to_a_teaser():
+    assert H.extract("<main><h1>Title</h1><p>lead</p><article><p>Body</p></article></main>") == "Title\nlead\nBody"
+    assert H.extract("<article>teaser</article><main><p>A long story.</p></main>") == "teaser\nA long story."
+    assert H.extract("<article>teaser</article><div><p>A long story, that is longer.</p></div>") == "teaser\nA long story, that is longer."
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    began = time.perf_counter()
+    assert H.extract("<div>" * 100_000 + "deep" + "</div>" * 100_000) == "deep"
+    assert H.extract("<table>" + "<div><p>x" * 50_000) == "\n".join(["x"] * 50_000)
+    assert time.perf_counter() - began < 60
