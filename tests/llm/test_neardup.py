@@ -124,3 +124,38 @@ def test_components(spark):
             low[y] = x
     got = components(Scratch(spark), spark.createDataFrame(edges, "a long, b long"))
     assert dict(map(tuple, got.collect())) == {x: find(x) for x in list(low)}
+
+
+def test_rows_that_share_an_id_keep_their_own_links(spark):
+    n = prose(1, 400, 10**6).split()
+    x = " ".join([*n[:398], "p", "q"])  # N~X
+    y = " ".join([*n[:365], *prose(2, 35, 10**6).split()])  # Y~X no
+    u = prose(3, 400, 10**6)
+    for other in (y, u):
+        rows = [(3, " ".join(n)), (5, x), (5, other), (9, other)]
+        got = rows_of(N.near_duplicates(spark, documents(spark, rows).repartition(3)), "doc_id", "component_id", "kept")
+        assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False)]
+
+
+def test_repeated_rows_cost_no_pairs(spark):
+    one, two = prose(1, 100, 10**6), prose(2, 100, 10**6)
+    near = " ".join([*one.split()[:99], "z"])
+    rows = [(7, one)] * 20_000 + [(8, near)] * 20_000 + [(9, two)]
+    got = N.near_duplicates(spark, documents(spark, rows).repartition(4)).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, got)) == [(7, 7, 20_000), (8, 7, 20_000), (9, 9, 1)]
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    from vecspark.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    r = random.Random(6)
+    base = prose(1, 120, 10**6)
+    rows = [(i, edited(base, r, 1)) for i in range(100)] + [(200 + i, base) for i in range(60)] + [(400 + i, prose(50 + i, 60, 10**6)) for i in range(20)]
+    try:
+        check(spark, rows)
+        edges = [(0, i) for i in range(1, 300)] + [(300 + i, 301 + i) for i in range(20)]
+        assert {x: y for x, y in components(Scratch(spark), spark.createDataFrame(edges, "a long, b long")).collect()} == {i: 0 if i < 300 else 300 for i in range(321)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")

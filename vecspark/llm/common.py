@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of fixed-width rows is broadcast (about 24 bytes each).
 BROADCAST_ROWS = 500_000
+#: The fewest rows that make a key hot.
+HOT_ROWS = 1000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -77,6 +79,36 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
+def hot_bound(spark: SparkSession, rows: int) -> int:
+    """Rows beyond which a key is hot: a quarter of a mean partition. At most four times as many keys as partitions are."""
+    return max(HOT_ROWS, rows // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, hot: list[int], how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key; rows of the hot keys (few, by hot_bound) stay where they are."""
+    if not hot:
+        return left.join(right, key, how)
+    spark = left.sparkSession
+    keys = F.broadcast(spark.createDataFrame([(k,) for k in hot], f"{key} long"))
+    return (
+        left.join(keys, key, "left_anti")
+        .join(right, key, how)
+        .unionByName(left.join(keys, key, "left_semi").join(F.broadcast(right.join(keys, key, "left_semi")), key, how))
+    )
+
+
+def pairs_with(scratch: Scratch, pairs: DataFrame, table: DataFrame, hub: str, other: str, key: str, value: str, group: int = 512) -> DataFrame:
+    """pairs with the value of each of its two keys, as {hub}_{value} and {other}_{value}.
+
+    A hub's pairs are cut to groups of about `group`, each of which gets its value once, so one hub may have any number.
+    """
+    hubs = scratch.put(pairs.groupBy(hub).agg(F.ceil(F.count("*") / group).cast("int").alias("groups")), "hubs")
+    copies = table.select(F.col(key).alias(hub), F.col(value).alias(f"{hub}_{value}")).join(hubs, hub)
+    copies = copies.withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    cut = pairs.join(hubs, hub).withColumn("grp", F.pmod(F.xxhash64(other), F.col("groups")).cast("int")).drop("groups")
+    return cut.join(table.select(F.col(key).alias(other), F.col(value).alias(f"{other}_{value}")), other).join(copies, [hub, "grp"]).drop("grp")
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b): label is the smallest node it is connected with.
 
@@ -89,14 +121,24 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = scratch.put(low.select("a", F.col("m").alias("b")).unionAll(small).where("a <> b").distinct(), "edges")
+        large = _to_least(scratch, both, both.where("b > a"), True)
+        small = scratch.put(large, "large")
+        e = scratch.put(_to_least(scratch, small, small, False), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     labels = e.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels.unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+def _to_least(scratch: Scratch, edges: DataFrame, moved: DataFrame, itself: bool) -> DataFrame:
+    """The edges (a, b) of moved, each as (b, least neighbour of a); itself: a counts among its neighbours, else a keeps an edge to it too."""
+    low = scratch.put(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+    bound = hot_bound(scratch.spark, low.agg(F.sum("n")).first()[0] or 0)
+    hot = [r[0] for r in low.where(F.col("n") > bound).select("a").collect()]
+    least = low.select("a", (F.least("a", "m") if itself else F.col("m")).alias("m"))
+    out = join_split(moved, least, "a", hot).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    if not itself:
+        out = out.unionAll(low.select("a", F.col("m").alias("b")))
+    return out.where("a <> b").distinct()

@@ -14,7 +14,9 @@ is a parameter). The join runs in three steps:
    head needs no more branching: whatever is linked with it is somewhat like the head,
    and so in the same group). Nodes still large at the last level join one group. This
    yields candidate groups: no pair is ever dropped inside one.
-3. Every candidate group is decided on full sets: groups are cut into blocks of bounded
+3. The candidate links, likeliest first, are confirmed on full sets; that settles most
+   groups. A group that stays in several parts, and of which not all pairs were compared,
+   is decided whole: it is cut into blocks of bounded
    size, and each pair of blocks is one unit of work that returns only a spanning
    forest of its confirmed links.
 
@@ -24,7 +26,9 @@ so twelve trees miss it with odds below 1e-6 in sparse neighbourhoods and about
 where nodes split five times.
 
 Null or word-less texts have an empty set and are linked with nothing. Every input row
-gives one output row; rows that share a doc_id keep their own sets.
+gives one output row; rows that share a doc_id keep their own sets and links. Columns other than
+doc_id and text are not looked at, texts may have any length, and an empty table gives an empty result.
+A key that holds a large part of all rows (a group of copies, a node of near copies, a hub of links) is not gathered.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.llm import textkernel as K
-from vecspark.llm.common import BROADCAST_ROWS, Scratch, components, read, small_side
+from vecspark.llm.common import BROADCAST_ROWS, Scratch, components, hot_bound, join_split, pairs_with, read, small_side
 
 SHINGLE = 5
 VALUES = 64
@@ -55,6 +59,12 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
+def class_ids(sets: list[np.ndarray]) -> np.ndarray:
+    """One number for each set of shingles."""
+    n = np.array([len(s) for s in sets], np.uint64)
+    return K.mix(np.array([(a * 31 + b) & (2**64 - 1) for a, b in map(_digest, sets)], np.uint64) + n).view(np.int64)
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, cid, sig) by row; cid identifies the set, sig has its minwise values."""
 
@@ -70,12 +80,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     for k in range(VALUES):
                         low = np.minimum.reduceat(flat * _MULTIPLIERS[k], heads)
                         sig[n > 0, k] = (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                cid = K.mix(np.array([(a * 31 + b) & (2**64 - 1) for a, b in map(_digest, sets)], np.uint64) + n.astype(np.uint64))
+                cid = class_ids(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)).cast(pa.int64()),
                         pa.array(n),
-                        pa.array(cid.view(np.int64)),
+                        pa.array(cid),
                         pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), VALUES).cast(pa.list_(pa.int32())),
                     ],
                     names=["doc_id", "n_shingles", "cid", "sig"],
@@ -133,17 +143,19 @@ def _leaf_links(similar: float):
         for t in _by_group(batches, 1):
             node, cid = np.asarray(t.column(0)), np.asarray(t.column(1))
             sig = np.asarray(t.column(2).combine_chunks().flatten()).reshape(len(cid), VALUES)
-            a, b = [np.zeros(0, int)], [np.zeros(0, int)]
+            a, b, like = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)]
             for shift in range(1, len(cid)):
                 i = np.flatnonzero(node[shift:] == node[:-shift])
                 if not len(i):
                     break
                 for part in np.array_split(i, max(1, len(i) // 50_000)):
-                    hit = part[(sig[part] == sig[part + shift]).sum(axis=1) >= similar * VALUES]
+                    same = (sig[part] == sig[part + shift]).sum(axis=1)
+                    hit = part[same >= similar * VALUES]
                     a.append(hit)
                     b.append(hit + shift)
-            a, b = np.concatenate(a), np.concatenate(b)
-            order = np.argsort(a, kind="stable")
+                    like.append(same[same >= similar * VALUES])
+            a, b, like = np.concatenate(a), np.concatenate(b), np.concatenate(like)
+            order = np.lexsort((b, a, -like))  # the likeliest first
             # a row stands in one node, so rows of different nodes are never joined here
             links = _forest(a[order], b[order])
             if links:
@@ -162,17 +174,21 @@ def candidate_links(scratch: Scratch, classes: DataFrame, threshold: float, tree
     rows = tree.select("cid", F.xxhash64("tree", F.element_at("sig", coordinate("tree"))).alias("node"))
     leaves, heads = [], []
     for level in range(1, levels + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("cid").alias("head")).where("size > 1")
-        kept = scratch.put(rows.join(sizes, "node"), f"level{level}")
+        rows = scratch.put(rows, f"rows{level}")
+        sizes = scratch.put(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("cid").alias("head")).where("size > 1"), f"sizes{level}")
+        bound = hot_bound(scratch.spark, sizes.agg(F.sum("size")).first()[0] or 0)
+        hot = [r[0] for r in sizes.where(F.col("size") > bound).select("node").collect()]
+        kept = scratch.put(join_split(rows, sizes, "node", hot), f"level{level}")
         leaves.append(kept.where(F.col("size") <= leaf).select("node", "cid"))
         large = kept.where(F.col("size") > leaf)
         if level == levels:
             heads.append(large.select(F.col("cid").alias("a"), F.col("head").alias("b")))
         if level == levels or large.isEmpty():
             break
-        leaders = large.where("cid = head").select("node", "cid").join(sig, "cid").select("node", F.col("sig").alias("head_sig"))
+        leaders = large.where("cid = head").select("node", "cid").distinct().join(sig, "cid").select("node", F.col("sig").alias("head_sig"))
+        leaders = scratch.put(leaders, f"leaders{level}")
         alike = F.aggregate(F.zip_with("sig", "head_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / VALUES
-        near = large.join(sig, "cid").join(leaders, "node").select("cid", "node", "head", "sig", alike.alias("alike"))
+        near = join_split(large.join(sig, "cid"), leaders, "node", hot).select("cid", "node", "head", "sig", alike.alias("alike"))
         near = scratch.put(near, f"large{level}")
         heads.append(near.where(F.col("alike") >= threshold - 0.45).select(F.col("cid").alias("a"), F.col("head").alias("b")))
         more = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < int(1000 * (1 / threshold - 1))
@@ -183,7 +199,7 @@ def candidate_links(scratch: Scratch, classes: DataFrame, threshold: float, tree
     for more in leaves[1:]:
         members = members.unionAll(more)
     links = (
-        members.join(sig, "cid").select("node", "cid", "sig").repartition("node").sortWithinPartitions("node").mapInArrow(_leaf_links(similar), "a long, b long")
+        members.join(sig, "cid").select("node", "cid", "sig").repartition("node").sortWithinPartitions("node", "cid").mapInArrow(_leaf_links(similar), "a long, b long")
     )
     for more in heads:
         links = links.unionAll(more.where("a <> b"))
@@ -239,20 +255,32 @@ def _confirmed(percent: int):
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(group, blocks, cid, shingles) of candidate rows that carry a text."""
+    """(cid, shingles) of the rows (cid, text) whose text has that set; a task gives each set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for at, texts in K.slices(batch.column(3)):
+            for at, texts in K.slices(batch.column(1)):
+                wanted = batch.column(0).slice(at, len(texts)).to_pylist()
                 sets = K.shingles(texts, SHINGLE)
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                at_ = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(at, len(texts)) for i in range(3)), pa.ListArray.from_arrays(pa.array(at_), pa.array(flat.view(np.int64)))],
-                    names=["grp", "blocks", "cid", "shingles"],
-                )
+                own = class_ids(sets).tolist()
+                some = []
+                for i, cid in enumerate(wanted):
+                    if own[i] == cid and cid not in seen:
+                        seen.add(cid)
+                        some.append(i)
+                flat = np.concatenate([sets[i] for i in some]) if some else np.zeros(0, np.uint64)
+                at_ = np.concatenate([[0], np.cumsum([len(sets[i]) for i in some])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([wanted[i] for i in some], pa.int64()), pa.ListArray.from_arrays(pa.array(at_), pa.array(flat.view(np.int64)))], names=["cid", "shingles"])
+
+    return docs.mapInArrow(run, "cid long, shingles array<long>")
 
-    return docs.mapInArrow(run, "grp long, blocks int, cid long, shingles array<long>")
+
+def _exactly(scratch: Scratch, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) that full sets confirm; a, the smaller, may be the head of a large node."""
+    both = pairs_with(scratch, links, sets, "a", "b", "cid", "shingles")
+    common, total = F.size(F.array_intersect("a_shingles", "b_shingles")), F.size("a_shingles") + F.size("b_shingles")
+    return both.where(100 * common >= percent * (total - common)).select("a", "b")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,36 +292,55 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, id_
     scratch = Scratch(spark)
     rows = scratch.put(signatures(docs, id_col, text_col), "rows")
     some = rows.where("n_shingles > 0")
-    classes = scratch.put(some.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")), "classes")
-    maybe = scratch.put(components(scratch, candidate_links(scratch, classes, percent / 100)), "maybe")
-    sized = maybe.join(classes.select(F.col("cid").alias("node"), "n"), "node").groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
-    sized = sized.select("label", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    wanted = scratch.put(
-        maybe.join(sized, "label").join(classes.select(F.col("cid").alias("node"), "rep"), "node").select("rep", F.col("label").alias("grp"), "blocks", F.col("node").alias("cid")),
-        "wanted",
-    )
-    # one row stands for a class: the one with its smallest id; repeated ids are told apart by their set
+    classes = scratch.put(some.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"), F.count("*").alias("copies")), "classes")
+    links = candidate_links(scratch, classes, percent / 100)
+    links = scratch.put(links.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("b")).where("x <> b").withColumnRenamed("x", "a").distinct(), "links")
+    maybe = scratch.put(components(scratch, links), "maybe")
+    # one row stands for a class: one with its smallest id; rows that share an id are told apart by their sets
+    wanted = scratch.put(maybe.select(F.col("node").alias("cid")).join(classes.select("cid", "rep"), "cid"), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
-    found = texts.join(small_side(wanted, wanted.count(), BROADCAST_ROWS), "rep").select("grp", "blocks", "cid", "text")
-    sets = _sets(found)
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    units = (
-        sets.withColumn("own", own)
-        .select("grp", "cid", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "cid", "shingles")
-    )
-    links = units.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q", "cid").mapInArrow(_confirmed(percent), "a long, b long")
-    final = components(scratch, links)
-    named = final.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
-    lowest = named.groupBy("label").agg(F.min("rep").alias("component"))
+    found = texts.join(small_side(wanted, wanted.count(), BROADCAST_ROWS), "rep").select("cid", "text")
+    sets = scratch.put(_sets(found).dropDuplicates(["cid"]), "sets")
+    # most groups are joined by their candidate links alone
+    confirmed = scratch.put(_exactly(scratch, links, sets, percent), "confirmed")
+    parts = scratch.put(components(scratch, confirmed), "parts")
+    rest = _undecided(scratch, maybe, parts, links, classes)
+    if not rest.isEmpty():
+        own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+        units = (
+            rest.join(sets, "cid")
+            .withColumn("own", own)
+            .select("grp", "cid", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            .select("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "cid", "shingles")
+        )
+        more = units.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q", "cid").mapInArrow(_confirmed(percent), "a long, b long")
+        parts = components(scratch, scratch.put(confirmed.unionAll(more), "confirmed"))
+    named = parts.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
+    lowest = scratch.put(named.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("n")), "lowest")
     # every class: its component's smallest id, or its own
-    merged = named.join(lowest, "label").select(F.col("node").alias("cid"), "component")
-    classes = classes.select("cid", "rep").join(merged, "cid", "left").select("cid", F.coalesce("component", "rep").alias("component"))
+    hot = [r[0] for r in lowest.where(F.col("n") > hot_bound(spark, lowest.agg(F.sum("n")).first()[0] or 0)).select("label").collect()]
+    merged = join_split(named, lowest.drop("n"), "label", hot).select(F.col("node").alias("cid"), "component")
+    classes = classes.select("cid", "rep", "copies").join(merged, "cid", "left").select("cid", "copies", F.coalesce("component", "rep").alias("component"))
+    classes = scratch.put(classes, "named")
+    hot = [r[0] for r in classes.where(F.col("copies") > hot_bound(spark, classes.agg(F.sum("copies")).first()[0] or 0)).select("cid").collect()]
     alone = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = rows.select("doc_id", "n_shingles", "cid").join(classes, "cid", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+    out = join_split(rows.select("doc_id", "n_shingles", "cid"), classes.drop("copies"), "cid", hot, "left").select("doc_id", "n_shingles", alone.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _undecided(scratch: Scratch, maybe: DataFrame, parts: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(grp, blocks, cid) of the candidate groups that the confirmed links leave in parts, with pairs not compared yet."""
+    of = parts.select("node", F.col("label").alias("part"))
+    sized = maybe.join(of, "node", "left").join(classes.select(F.col("cid").alias("node"), "n"), "node")
+    part = F.coalesce("part", "node")
+    sized = sized.groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("total"), F.min(part).alias("first"), F.max(part).alias("last")).where("first <> last")
+    sized = scratch.put(sized.drop("first", "last"), "sized")
+    tried = maybe.join(sized, "label").join(links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("tried")), "node").groupBy("label").agg(F.sum("tried").alias("tried"))
+    open_ = sized.join(tried, "label").where(F.col("tried") < F.col("docs") * (F.col("docs") - 1) / 2)
+    open_ = open_.select("label", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return scratch.put(maybe.join(open_, "label").select(F.col("label").alias("grp"), "blocks", F.col("node").alias("cid")), "rest")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: of each group, those with its smallest doc_id.
 
