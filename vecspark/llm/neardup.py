@@ -28,7 +28,8 @@ where nodes split five times.
 Null or word-less texts have an empty set and are linked with nothing. Every input row
 gives one output row; rows that share a doc_id keep their own sets and links. Columns other than
 doc_id and text are not looked at, texts may have any length, and an empty table gives an empty result.
-A key that holds a large part of all rows (a group of copies, a node of near copies, a hub of links) is not gathered.
+A group of copies or a hub of links that holds a large part of all rows is split by its counted size; where narrow rows
+(ids and node numbers) are joined by a skewed key, adaptive execution splits the join.
 """
 
 from __future__ import annotations
@@ -174,11 +175,8 @@ def candidate_links(scratch: Scratch, classes: DataFrame, threshold: float, tree
     rows = tree.select("cid", F.xxhash64("tree", F.element_at("sig", coordinate("tree"))).alias("node"))
     leaves, heads = [], []
     for level in range(1, levels + 1):
-        rows = scratch.put(rows, f"rows{level}")
-        sizes = scratch.put(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("cid").alias("head")).where("size > 1"), f"sizes{level}")
-        bound = hot_bound(scratch.spark, sizes.agg(F.sum("size")).first()[0] or 0)
-        hot = [r[0] for r in sizes.where(F.col("size") > bound).select("node").collect()]
-        kept = scratch.put(join_split(rows, sizes, "node", hot), f"level{level}")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("cid").alias("head")).where("size > 1")
+        kept = scratch.put(rows.join(sizes, "node"), f"level{level}")
         leaves.append(kept.where(F.col("size") <= leaf).select("node", "cid"))
         large = kept.where(F.col("size") > leaf)
         if level == levels:
@@ -186,9 +184,8 @@ def candidate_links(scratch: Scratch, classes: DataFrame, threshold: float, tree
         if level == levels or large.isEmpty():
             break
         leaders = large.where("cid = head").select("node", "cid").distinct().join(sig, "cid").select("node", F.col("sig").alias("head_sig"))
-        leaders = scratch.put(leaders, f"leaders{level}")
         alike = F.aggregate(F.zip_with("sig", "head_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / VALUES
-        near = join_split(large.join(sig, "cid"), leaders, "node", hot).select("cid", "node", "head", "sig", alike.alias("alike"))
+        near = large.join(sig, "cid").join(leaders, "node").select("cid", "node", "head", "sig", alike.alias("alike"))
         near = scratch.put(near, f"large{level}")
         heads.append(near.where(F.col("alike") >= threshold - 0.45).select(F.col("cid").alias("a"), F.col("head").alias("b")))
         more = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < int(1000 * (1 / threshold - 1))
@@ -276,11 +273,11 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "cid long, shingles array<long>")
 
 
-def _exactly(scratch: Scratch, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links (a, b) that full sets confirm; a, the smaller, may be the head of a large node."""
+def _tested(scratch: Scratch, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked): whether full sets confirm each link; a, the smaller, may be the head of a large node."""
     both = pairs_with(scratch, links, sets, "a", "b", "cid", "shingles")
     common, total = F.size(F.array_intersect("a_shingles", "b_shingles")), F.size("a_shingles") + F.size("b_shingles")
-    return both.where(100 * common >= percent * (total - common)).select("a", "b")
+    return both.select("a", "b", (100 * common >= percent * (total - common)).alias("linked"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,17 +292,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, id_
     classes = scratch.put(some.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"), F.count("*").alias("copies")), "classes")
     links = candidate_links(scratch, classes, percent / 100)
     links = scratch.put(links.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("b")).where("x <> b").withColumnRenamed("x", "a").distinct(), "links")
-    maybe = scratch.put(components(scratch, links), "maybe")
     # one row stands for a class: one with its smallest id; rows that share an id are told apart by their sets
-    wanted = scratch.put(maybe.select(F.col("node").alias("cid")).join(classes.select("cid", "rep"), "cid"), "wanted")
+    wanted = scratch.put(links.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid"), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
     found = texts.join(small_side(wanted, wanted.count(), BROADCAST_ROWS), "rep").select("cid", "text")
     sets = scratch.put(_sets(found).dropDuplicates(["cid"]), "sets")
     # most groups are joined by their candidate links alone
-    confirmed = scratch.put(_exactly(scratch, links, sets, percent), "confirmed")
-    parts = scratch.put(components(scratch, confirmed), "parts")
-    rest = _undecided(scratch, maybe, parts, links, classes)
-    if not rest.isEmpty():
+    tested = scratch.put(_tested(scratch, links, sets, percent), "tested")
+    parts = scratch.put(components(scratch, tested.where("linked").select("a", "b")), "parts")
+    rest = _undecided(scratch, tested, parts, classes)
+    if rest is not None:
         own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
         units = (
             rest.join(sets, "cid")
@@ -314,12 +310,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, id_
             .select("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "cid", "shingles")
         )
         more = units.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q", "cid").mapInArrow(_confirmed(percent), "a long, b long")
-        parts = components(scratch, scratch.put(confirmed.unionAll(more), "confirmed"))
+        more = scratch.put(_between(more, parts), "more")
+        if not more.isEmpty():
+            merged = components(scratch, more).select(F.col("label").alias("to"), F.col("node").alias("label"))
+            inner = parts.unionAll(merged.join(parts.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), "label"))
+            parts = inner.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     named = parts.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
-    lowest = scratch.put(named.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("n")), "lowest")
+    lowest = named.groupBy("label").agg(F.min("rep").alias("component"))
     # every class: its component's smallest id, or its own
-    hot = [r[0] for r in lowest.where(F.col("n") > hot_bound(spark, lowest.agg(F.sum("n")).first()[0] or 0)).select("label").collect()]
-    merged = join_split(named, lowest.drop("n"), "label", hot).select(F.col("node").alias("cid"), "component")
+    merged = named.join(lowest, "label").select(F.col("node").alias("cid"), "component")
     classes = classes.select("cid", "rep", "copies").join(merged, "cid", "left").select("cid", "copies", F.coalesce("component", "rep").alias("component"))
     classes = scratch.put(classes, "named")
     hot = [r[0] for r in classes.where(F.col("copies") > hot_bound(spark, classes.agg(F.sum("copies")).first()[0] or 0)).select("cid").collect()]
@@ -328,17 +327,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, id_
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _undecided(scratch: Scratch, maybe: DataFrame, parts: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
-    """(grp, blocks, cid) of the candidate groups that the confirmed links leave in parts, with pairs not compared yet."""
-    of = parts.select("node", F.col("label").alias("part"))
-    sized = maybe.join(of, "node", "left").join(classes.select(F.col("cid").alias("node"), "n"), "node")
-    part = F.coalesce("part", "node")
-    sized = sized.groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("total"), F.min(part).alias("first"), F.max(part).alias("last")).where("first <> last")
-    sized = scratch.put(sized.drop("first", "last"), "sized")
-    tried = maybe.join(sized, "label").join(links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("tried")), "node").groupBy("label").agg(F.sum("tried").alias("tried"))
-    open_ = sized.join(tried, "label").where(F.col("tried") < F.col("docs") * (F.col("docs") - 1) / 2)
-    open_ = open_.select("label", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    return scratch.put(maybe.join(open_, "label").select(F.col("label").alias("grp"), "blocks", F.col("node").alias("cid")), "rest")
+def _between(links: DataFrame, parts: DataFrame) -> DataFrame:
+    """The links (a, b) as links of different parts."""
+    of = parts.select("node", "label")
+    links = links.join(of.select(F.col("node").alias("a"), F.col("label").alias("x")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("label").alias("y")), "b", "left")
+    return links.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b").distinct()
+
+
+def _undecided(scratch: Scratch, tested: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(grp, blocks, cid) of the parts that refused links connect, where not all pairs of classes were compared."""
+    refused = scratch.put(_between(tested.where("not linked").select("a", "b"), parts), "refused")
+    if refused.isEmpty():
+        return None
+    groups = components(scratch, refused).select(F.col("node").alias("part"), F.col("label").alias("grp"))
+    of = parts.select(F.col("node").alias("cid"), F.col("label").alias("part"))
+    alone = groups.join(of.select("part"), "part", "left_anti").select(F.col("part").alias("cid"), "grp")
+    members = scratch.put(groups.join(of, "part").select("cid", "grp").unionAll(alone), "members")
+    tried = tested.join(members.select(F.col("cid").alias("a"), "grp"), "a").groupBy("grp").agg(F.count("*").alias("tried"))
+    sized = members.join(classes.select("cid", "n"), "cid").groupBy("grp").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+    open_ = sized.join(tried, "grp").where(F.col("tried") < F.col("docs") * (F.col("docs") - 1) / 2)
+    open_ = open_.select("grp", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rest = scratch.put(members.join(open_, "grp"), "rest")
+    return None if rest.isEmpty() else rest
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
