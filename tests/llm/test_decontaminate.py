@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -36,8 +39,8 @@ def brute(docs, items, window=8):
 COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
-@pytest.mark.parametrize("part_bytes", [D.PATTERN_BYTES, 500])
-def test_random_texts(spark, part_bytes):
+@pytest.mark.parametrize("part_words", [D.PATTERN_WORDS, 100])
+def test_random_texts(spark, part_words):
     r = random.Random(8)
     items = [(i, prose(i, r.choice([1, 2, 3, 7, 8, 9, 20, 40]), r.choice([3, 50, 5000]))) for i in range(40)] + [(50, ""), (51, None), (52, "É é-E'x_y\x7fz"), (9, "w1, W1; w1! w1")]
     docs = []
@@ -49,7 +52,7 @@ def test_random_texts(spark, part_bytes):
             t[at:at] = w[r.randrange(3) :]
         docs.append((i, r.choice([" ", ", ", "\n--"]).join(t)))
     docs += [(900, None), (901, ""), (902, "é é e x y Z"), (903, "..."), (904, "é é e x_y")]
-    got = D.contamination(spark, documents(spark, docs).repartition(3), spark.createDataFrame(items, ITEM), part_bytes=part_bytes)
+    got = D.contamination(spark, documents(spark, docs).repartition(3), spark.createDataFrame(items, ITEM), part_words=part_words)
     assert rows_of(got, *COLUMNS) == sorted(brute(docs, items), key=repr)
 
 
@@ -64,7 +67,7 @@ def test_whole_table(spark):
 def test_repeated_rows_in_several_parts(spark):
     docs = [(1, "a b c d e f g h i"), (1, "a b c d e f g h i"), (1, "x"), (None, "b c d e f g h i j"), (None, None), (None, None)]
     items = [(i, t) for i, t in enumerate(["a b c d e f g h", "b c d e f g h i j", "x"])]
-    got = D.contamination(spark, documents(spark, docs), spark.createDataFrame(items, ITEM), part_bytes=8)
+    got = D.contamination(spark, documents(spark, docs), spark.createDataFrame(items, ITEM), part_words=8)
     assert rows_of(got, "doc_id", "n_words", "n_hit", "n_items") == sorted([(1, 9, 9, 2), (1, 9, 9, 2), (1, 1, 1, 1), (None, 9, 9, 1), (None, 0, 0, 0), (None, 0, 0, 0)], key=repr)
 
 
@@ -76,3 +79,19 @@ def test_messy_rows(spark, messy):
     assert clean.columns == messy.columns and clean.count() == messy.count() - 3
     assert D.drop_contaminated(spark, messy, items.where("false")).count() == messy.count()
     assert D.contamination(spark, messy.where("false"), items).count() == 0
+
+
+def test_a_full_part_fits_a_worker():
+    code = """
+import random, resource
+from vecspark.llm import decontaminate as D
+r = random.Random(1)
+words = [f"w{r.randrange(10**6)}" for _ in range(D.PATTERN_WORDS)]
+texts = [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)]
+del words
+(m,) = D.matchers(texts, 8)
+assert len(m.hash) > 0.95 * D.PATTERN_WORDS and (m.shift == 0).mean() < 0.3
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=Path(D.__file__).parents[2], check=True)
+    assert int(got.stdout) < 1024

@@ -7,19 +7,19 @@ far the search may jump, since no pattern ends within the jump; where the shift
 zero, the bucket of the last block's hash gives the patterns to compare, word by word.
 All patterns have the same length within a matcher, so none is missed by jumping.
 
-The benchmark's patterns reach every task, once per Python worker. Their size is
-counted first: up to `PATTERN_BYTES` they are broadcast whole; beyond it the benchmark
-is searched in parts of that size, and the hits of the parts are merged by document.
+The benchmark's patterns reach every task, once per Python worker, as arrays: the words' bytes and hashes once, and for each
+pattern the number of its first word. Their words are
+counted first: up to `PATTERN_WORDS` they are broadcast whole; beyond it the benchmark
+is searched in parts of that size, and the hits of the parts are merged by document. The tables grow with the number of patterns.
 
 Null or word-less documents have no words and no hits; null or word-less items have no
 window. Every row of docs gives one row, repeated rows too: the hits of several parts are merged by
-doc_id and a hash of the text, and given back as often as the row was there.
+doc_id and a hash of the text, and given back as often as the row was there. Texts of any length are searched whole; columns
+other than the ids and texts are not looked at; an empty benchmark hits nothing and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,71 +31,83 @@ from vecspark.llm import textkernel as K
 from vecspark.llm.common import Scratch, read
 
 WINDOW = 8
-#: Text bytes of benchmark items that one broadcast may carry.
-PATTERN_BYTES = 64 << 20
-_TABLE = 1 << 18
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words of benchmark items that one broadcast may carry: about 300 MB in a Python worker.
+PATTERN_WORDS = 2_000_000
 
 
 class Matcher:
-    """Patterns of one length, in words."""
-
-    def __init__(self, length: int):
-        self.m, self.block = length, min(2, length)
-        self.patterns: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-
-    def close(self) -> None:
-        """The shift table and suffix buckets of the patterns given so far."""
-        self.shift = np.full(_TABLE, self.m - self.block + 1, np.uint8 if self.m < 250 else np.int32)
-        self.bucket: dict[int, list[tuple[bytes, ...]]] = defaultdict(list)
-        flat = [w for p in self.patterns for w in p]
-        w = K.words(pa.array([b" ".join(flat).decode("utf-8", "surrogateescape")]), K.SPACE) if flat else None
-        for at, p in enumerate(self.patterns):
-            slot = block_slots(w.hash[at * self.m : (at + 1) * self.m], self.block)
-            for end, s in enumerate(slot.tolist()):
-                self.shift[s] = min(self.shift[s], self.m - self.block - end)
-            self.bucket[int(slot[-1])].append(p)
-
-    def hits(self, w: K.Words, i: int, slots: np.ndarray) -> Iterator[tuple[int, tuple[bytes, ...]]]:
-        """(first word, pattern) of all occurrences in text i."""
+    """Patterns of one length, in words: those from the given words of a run of texts on, each with its item."""
+
+    def __init__(self, w: K.Words, length: int, first: np.ndarray, item: np.ndarray):
+        self.m, self.block, self.w = length, min(2, length), w
+        h = K.grams(w, length)[0][first]
+        order = np.lexsort((item, h))
+        h, first, item = h[order], first[order], item[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (item[1:] != item[:-1])])
+        h, first, item = h[new], first[new], item[new]
+        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.diff(np.concatenate([head, [len(h)]]))
+        blocks = block_hashes(w.hash, self.block)
+        self.bits = max(10, (4 * len(first)).bit_length())
+        self.shift = np.full(1 << self.bits, length - self.block + 1, np.uint8 if length < 250 else np.int32)
+        for at in range(length - self.block + 1):  # a later block allows a shorter jump
+            self.shift[self.slots(blocks[first[head] + at])] = length - self.block - at
+        suffix = self.slots(blocks[first[head] + length - self.block])
+        by_suffix = np.argsort(suffix, kind="stable")
+        self.suffix, self.first, self.hash = suffix[by_suffix], first[head][by_suffix], h[head][by_suffix]
+        self.items_from, self.items_n, self.items = head[by_suffix], n[by_suffix], item
+
+    def slots(self, blocks: np.ndarray) -> np.ndarray:
+        return (blocks >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def hits(self, w: K.Words, i: int, slots: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(first word, items) of all occurrences in text i; h has the hash of the words from each word on."""
         a, b = int(w.first[i]), int(w.first[i + 1])
         if b - a < self.m:
             return
         jump = self.shift[slots[a : b - self.block + 1]].tolist()  # by the block's first word
-        data, start, end, m = w.data, w.start, w.end, self.m
-        at, last = m - self.block, b - a - self.block
+        at, last = self.m - self.block, b - a - self.block
         while at <= last:
             s = jump[at]
             if s:
                 at += s
                 continue
-            x = a + at - (m - self.block)
-            for p in self.bucket.get(int(slots[a + at]), ()):
-                if all(data[start[x + j] : end[x + j]].tobytes() == p[j] for j in range(m)):
-                    yield x - a, p
+            x = a + at - (self.m - self.block)
+            low, high = np.searchsorted(self.suffix, (slots[a + at], slots[a + at] + 1)).tolist()
+            for p in low + np.flatnonzero(self.hash[low:high] == h[x]):
+                if self._same(w, x, int(self.first[p])):
+                    yield x - a, self.items[self.items_from[p] : self.items_from[p] + self.items_n[p]]
             at += 1
 
+    def _same(self, w: K.Words, x: int, p: int) -> bool:
+        own = self.w
+        return all(
+            w.data[w.start[x + j] : w.end[x + j]].tobytes() == own.data[own.start[p + j] : own.end[p + j]].tobytes() for j in range(self.m)
+        )
+
 
-def block_slots(h: np.ndarray, block: int) -> np.ndarray:
-    """Table slots of the blocks from each word on."""
+def block_hashes(h: np.ndarray, block: int) -> np.ndarray:
+    """Hashes of the blocks from each word on."""
     if block == 1 or len(h) < 2:
-        x = h if block == 1 else h[:0]
-    else:
-        x = K.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-    return (x >> np.uint64(40)).astype(np.int64) & (_TABLE - 1)
-
-
-def matchers(items: list[tuple[str, str]], window: int) -> list[Matcher]:
-    out: dict[int, Matcher] = {}
-    for at, texts in K.slices(pa.array([t for _, t in items], pa.string())):
-        w = K.words(texts, K.PUNCT)
-        for i in range(len(texts)):
-            own = [w.data[s:e].tobytes() for s, e in zip(w.start[w.of(i)], w.end[w.of(i)], strict=True)]
-            m = min(window, len(own))
-            for x in range(len(own) - m + 1 if m else 0):
-                out.setdefault(m, Matcher(m)).patterns[tuple(own[x : x + m])].add(items[at + i][0])
-    for x in out.values():
-        x.close()
-    return list(out.values())
+        return K.mix(h if block == 1 else h[:0])
+    return K.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+
+
+def matchers(texts: list[str], window: int) -> list[Matcher]:
+    """One matcher for each length of the patterns; items are numbered as their texts are."""
+    w = K.words(pa.array(texts, pa.string()), K.PUNCT)
+    size = np.diff(w.first)
+    out = []
+    for m in np.unique(np.minimum(size[size > 0], window)).tolist():
+        if m < window:
+            item = np.flatnonzero(size == m)
+            first = w.first[item]
+        else:
+            first = np.flatnonzero(K.grams(w, window)[1])
+            item = np.searchsorted(w.first, first, side="right") - 1
+        out.append(Matcher(w, m, first, item))
+    return out
 
 
 _built: dict[str, list[Matcher]] = {}
@@ -107,26 +119,27 @@ def _search(docs: DataFrame, items, key: str, window: int, spans: bool) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _built:
             _built.clear()
-            _built[key] = matchers(items.value, window)
-        own = _built[key]
-        blocks = sorted({x.block for x in own})
+            _built[key] = matchers([text for _, text in items.value], window)
+        own, ids = _built[key], [item for item, _ in items.value]
         for batch in batches:
             for at, texts in K.slices(batch.column(1)):
                 w = K.words(texts, K.PUNCT)
-                slots = {b: block_slots(w.hash, b) for b in blocks}
+                blocks = {b: block_hashes(w.hash, b) for b in {x.block for x in own}}
+                slots = [x.slots(blocks[x.block]) for x in own]
+                grams = [K.grams(w, x.m)[0] for x in own]
                 n, n_hit, found, where = [], [], [], []
                 for i in range(len(texts)):
                     size = int(w.first[i + 1] - w.first[i])
-                    got: set[str] = set()
+                    got: set[int] = set()
                     mark = None
-                    for x in own:
-                        for word, p in x.hits(w, i, slots[x.block]):
-                            got |= x.patterns[p]
+                    for x, slot, h in zip(own, slots, grams, strict=True):
+                        for word, some in x.hits(w, i, slot, h):
+                            got.update(some.tolist())
                             mark = np.zeros(size, bool) if mark is None else mark
                             mark[word : word + x.m] = True
                     n.append(size)
                     n_hit.append(0 if mark is None else int(mark.sum()))
-                    found.append(sorted(got))
+                    found.append(sorted({ids[k] for k in got}))
                     where.append([] if mark is None else np.flatnonzero(mark).tolist() if spans else [])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(where, pa.list_(pa.int32())), batch.column(2).slice(at, len(texts))],
@@ -137,17 +150,17 @@ def _search(docs: DataFrame, items, key: str, window: int, spans: bool) -> DataF
 
 
 def contamination(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_items: int = 2, part_bytes: int = PATTERN_BYTES, id_col: str = "doc_id", text_col: str = "text"
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_items: int = 2, part_words: int = PATTERN_WORDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items) of every row of docs."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(_WORD)))).first()[0] or 0
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("digest", F.xxhash64("text"))
-    parts = int(total // part_bytes) + 1
+    parts = int(total // part_words) + 1
     found = None
     for part in range(parts):
-        # each part is within part_bytes on average; a single item is never split
+        # each part is within part_words on average; a single item is never split
         some = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
         sent = spark.sparkContext.broadcast([tuple(r) for r in some.orderBy("item_id", "text").collect()])
         one = _search(docs, sent, f"{id(sent)}-{sent._jbroadcast.id() if sent._jbroadcast else part}", window, parts > 1)
