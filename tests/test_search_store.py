@@ -144,3 +144,42 @@ def test_ivf_recall_add_and_save(spark, tmp_path):
     top = more.query(q.where("qid = 0"), 2, 16).orderBy("rank").collect()
     assert {r["id"] for r in top} == {0, 1000}
     assert index.query(q.where("qid = 1"), 1000, 16).count() == 400  # no padding
+
+
+def test_a_crash_before_the_commit_leaves_the_version_before(spark, store, monkeypatch):
+    store.add(rows(spark, [1, 2]))
+
+    def crash(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(EmbeddingStore, "_commit", crash)
+        for change in (lambda: store.add(rows(spark, [3])), lambda: store.remove([1]), store.save):
+            with pytest.raises(OSError):
+                change()
+    assert ids(EmbeddingStore(spark, store.path, 8).get()) == [1, 2]
+    assert store.add(rows(spark, [2, 3])) == 1 and ids(EmbeddingStore(spark, store.path, 8).get()) == [1, 2, 3]
+
+
+def test_changes_add_parts_and_are_compacted(spark, store, monkeypatch):
+    from vecspark.operators import store as module
+
+    store.add(rows(spark, range(10)))
+    store.remove([1, 2])
+    store.add(rows(spark, [2]))
+    assert store.update(rows(spark, [3, 99]).selectExpr("id", "id + 5000 AS date", "embedding")) == 1
+    assert ids(store.get()) == [0, 2, 3, 4, 5, 6, 7, 8, 9] and store.get([3]).first()["date"] == 5003
+    assert [kind for kind, _ in store._parts()[1]] == ["rows", "gone", "rows", "gone", "rows"]
+    assert [r["id"] for r in store.get().orderBy("_seq").collect()] == [0, 3, 4, 5, 6, 7, 8, 9, 2]
+    monkeypatch.setattr(module, "COMPACT", 5)
+    store.remove([0])
+    assert [kind for kind, _ in store._parts()[1]] == ["rows"] and ids(store.get()) == [2, 3, 4, 5, 6, 7, 8, 9]
+
+
+def test_two_writers_do_not_undo_each_other(spark, store):
+    store.add(rows(spark, [1]))
+    before, parts = store._parts()
+    store.add(rows(spark, [2]))
+    with pytest.raises(RuntimeError):
+        store._commit(before, parts)
+    assert ids(store.get()) == [1, 2]

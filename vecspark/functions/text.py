@@ -6,8 +6,10 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 from vecspark.schema import ConfigParseFailed
 
+#: Words whose tokens a worker keeps.
+KNOWN_WORDS = 200_000
 CLIP_BOS, CLIP_EOS, CLIP_LENGTH = 49406, 49407, 77
 CLIP_PIECES = r"<\|startoftext\|>|<\|endoftext\|>|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -105,6 +109,7 @@ class WordPiece:
     def __init__(self, vocab: dict[str, int], config: MiniLmConfig | None = None):
         self.vocab, self.config = vocab, config or MiniLmConfig()
         self.longest = max(map(len, vocab), default=0)
+        self._known: dict[str, list[int]] = {}
 
     def word(self, word: str) -> list[str]:
         out, start = [], 0
@@ -124,8 +129,15 @@ class WordPiece:
         return [t for w in clean.split(" ") for t in self.word(w)]
 
     def ids(self, clean: str) -> list[int]:
-        unk = self.vocab.get(self.config.unk, 0)
-        return [self.vocab.get(t, unk) for t in self.tokens(clean)]
+        out: list[int] = []
+        for w in clean.split(" "):
+            if w not in self._known:
+                if len(self._known) > KNOWN_WORDS:
+                    self._known.clear()
+                unk = self.vocab.get(self.config.unk, 0)
+                self._known[w] = [self.vocab.get(t, unk) for t in self.word(w)]
+            out += self._known[w]
+        return out
 
 
 class ClipBpe:
@@ -140,29 +152,29 @@ class ClipBpe:
         if len(piece) <= 1:
             return [f"{piece} "]
         word = [*piece[:-1], f"{piece[-1]} "]
-        while len(word) > 1:
-            rank, a, b = min((self.ranks.get((x, y), len(self.ranks)), x, y) for x, y in zip(word, word[1:], strict=False))
-            if rank == len(self.ranks):
-                break
-            out, i = [], 0
-            while i < len(word):
-                if i + 1 < len(word) and word[i] == a and word[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(word[i])
-                    i += 1
-            word = out
+        none = len(self.ranks)
+        ranks = [self.ranks.get(p, none) for p in pairwise(word)]
+        while ranks and (best := min(ranks)) < none:
+            i = 0
+            while i < len(ranks):  # a rank names one pair: all its places, from left to right
+                if ranks[i] == best:
+                    word[i : i + 2] = [word[i] + word[i + 1]]
+                    del ranks[i]
+                    if i:
+                        ranks[i - 1] = self.ranks.get((word[i - 1], word[i]), none)
+                    if i < len(ranks):
+                        ranks[i] = self.ranks.get((word[i], word[i + 1]), none)
+                i += 1
         return word
 
     def ids(self, text: str) -> list[int]:
         out: list[int] = []
-        for p in self._pieces.findall(text):
-            if p not in self._known:
-                if len(self._known) > 200_000:
+        for chunk in text.split():  # no piece holds white space
+            if chunk not in self._known:
+                if len(self._known) > KNOWN_WORDS:
                     self._known.clear()
-                self._known[p] = [self.vocab[t] for t in self.merge(p)]
-            out += self._known[p]
+                self._known[chunk] = [self.vocab[t] for p in self._pieces.findall(chunk) for t in self.merge(p)]
+            out += self._known[chunk]
         return out
 
 
@@ -174,7 +186,7 @@ def tokenized(df: DataFrame, tokenizer: WordPiece | ClipBpe, text: str, into: st
     def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = sent.value
         for part in parts:
-            yield part.fillna("").map(own.ids)
+            yield part.fillna("").map(lambda x: np.array(own.ids(x), np.int32))
 
     return df.withColumn(into, ids(F.col(text)))
 

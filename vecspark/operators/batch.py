@@ -94,8 +94,8 @@ def batches(df: DataFrame, *order: str, size: int = BATCH, into: str = "batch")
 class BatchProcessor:
     """Runs function over the rows of a frame; rows that fail are reported and left out.
 
-    Spark's tasks are the workers; a batch is an Arrow batch. run() returns the metrics and
-    keeps the rows that succeeded in `result`.
+    Spark's tasks are the workers, and each partition of the frame is a batch: the listener hears of each once it is
+    done, in order, and of the share of batches done. run() returns the metrics and keeps the rows that succeeded in `result`.
     """
 
     item: str
@@ -109,13 +109,16 @@ class BatchProcessor:
         done = 0
         try:
             self.listener.on_active()
-            out = isolated(df, self.item, self.output, self.function).cache()
-            done = out.where("error IS NULL").count()
+            out = isolated(df, self.item, self.output, self.function).withColumn("__batch", F.spark_partition_id()).persist()
+            counts = {r[0]: r[1] for r in out.groupBy("__batch").agg(F.count_if(F.col("error").isNull())).collect()}
             for row in out.where("error IS NOT NULL").select(self.item, "error").toLocalIterator():
                 self.listener.on_error(row[0], row[1])
-            self.result = out.where("error IS NULL").drop("error")
-            self.listener.on_batch_complete(self.result)
-            self.listener.on_progress(1.0)
+            good = out.where("error IS NULL").drop("error")
+            self.result = good.drop("__batch")
+            for n, batch in enumerate(sorted(counts), 1):
+                done += counts[batch]
+                self.listener.on_batch_complete(good.where(F.col("__batch") == batch).drop("__batch"))
+                self.listener.on_progress(n / len(counts))
             metrics = Success(done, time.monotonic() - began)
             self.listener.on_complete(metrics)
             return metrics

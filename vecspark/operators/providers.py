@@ -106,12 +106,20 @@ class HashEmbedder(EmbeddingProvider):
     def __init__(self, dim: int = 64):
         super().__init__()
         self.dim = dim
+        self._places: dict[str, int] = {}  # word -> its place, after dim the places that count down
+
+    def _place(self, word: str) -> int:
+        if len(self._places) > 1_000_000:
+            self._places.clear()
+        h = hashlib.md5(word.encode()).digest()
+        self._places[word] = at = int.from_bytes(h[:4], "little") % self.dim + (0 if h[4] & 1 else self.dim)
+        return at
 
     def _embed(self, item: Any) -> np.ndarray:
-        v = np.zeros(self.dim, np.float32)
-        for w in (item or "").lower().split():
-            h = hashlib.md5(w.encode()).digest()
-            v[int.from_bytes(h[:4], "little") % self.dim] += np.float32(1 if h[4] & 1 else -1)
+        known = self._places
+        at = [known[w] if w in known else self._place(w) for w in (item or "").lower().split()]
+        n = np.bincount(np.array(at, np.int64), minlength=2 * self.dim)
+        v = (n[: self.dim] - n[self.dim :]).astype(np.float32)
         if not v.any():
             v[0] = 1
         return kernels.normalize(v)

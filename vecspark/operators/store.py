@@ -1,8 +1,11 @@
-"""Keyed embedding store on Parquet snapshots.
+"""Keyed embedding store on Parquet parts.
 
-A store is a folder of snapshots and a pointer file that names the current one. Every change
-writes a new snapshot or appends a part to a new one and then moves the pointer, so readers
-never see half a change and nothing that is read is overwritten. `_seq` keeps the insertion order.
+A store is a folder of parts and of numbered version files. A version lists parts in order: `rows` of
+embeddings and `gone` ids, which take back rows of earlier parts. A change writes what it adds (an insert its rows, an
+update the rows it changes, a removal ids) and then a new version file, by one rename; readers take
+the newest version. So nobody sees half a change, nothing that is read is overwritten, and a crash at any point leaves
+the version before. After `COMPACT` parts, and on save(), all rows are written anew as one. `_seq` keeps the insertion order.
+Given rows are written once to a staging folder before they are checked, counted and inserted, so models behind them run once.
 
 Where the original's behaviour is an accident of its cache, the store does the plain thing:
 an update never inserts, an empty store is a legal state, and rows are all checked
@@ -12,8 +15,11 @@ stays, at the place of the first.
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +28,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from vecspark.operators import search as S
 from vecspark.schema import Encoding, InvalidEmbeddingDimension, InvalidEmbeddingType, stored_schema
 
+#: Parts of a version beyond which a change writes all rows anew.
+COMPACT = 32
+
 
 def dedup_last(rows: DataFrame, order: str) -> DataFrame:
     """One row an id: the last by order, with the first's place in a column of that name."""
@@ -70,40 +79,66 @@ class EmbeddingStore:
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    # snapshots
+    # versions
+    def _versions(self) -> list[int]:
+        folder = self._Path(self.path)
+        if not self._fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-"))
+
     @property
     def exists(self) -> bool:
-        return self._fs.exists(self._Path(f"{self.path}/CURRENT"))
-
-    def _current(self) -> str | None:
-        if not self.exists:
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
-
-    def _point(self, name: str) -> None:
-        temp = self._Path(f"{self.path}/.next-{uuid.uuid4().hex}")
+        return bool(self._versions())
+
+    def _parts(self) -> tuple[int, list[list[str]]]:
+        """The newest version's number and its parts (kind, folder); -1 and none for a new store."""
+        known = self._versions()
+        if not known:
+            return -1, []
+        stream = self._fs.open(self._Path(f"{self.path}/version-{known[-1]:012d}"))
+        try:
+            return known[-1], json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, before: int, parts: list[list[str]]) -> None:
+        """Makes parts the version after `before`."""
+        temp, target = self._Path(f"{self.path}/.next-{uuid.uuid4().hex}"), self._Path(f"{self.path}/version-{before + 1:012d}")
         out = self._fs.create(temp)
-        out.write(bytearray(name, "utf-8"))
+        out.write(bytearray(json.dumps(parts), "utf-8"))
         out.close()
-        current = self._Path(f"{self.path}/CURRENT")
-        self._fs.delete(current, False)
-        self._fs.rename(temp, current)
-        crc = self._Path(f"{self.path}/.CURRENT.crc")
-        self._fs.delete(crc, False)
-
-    def _write(self, rows: DataFrame) -> None:
-        name = f"snapshot-{uuid.uuid4().hex}"
-        rows.select("id", "date", "embedding", "_seq").write.parquet(f"{self.path}/{name}")
+        if self._fs.exists(target) or not self._fs.rename(temp, target):
+            self._fs.delete(temp, False)
+            raise RuntimeError(f"{self.path} was changed by another writer")
         self.clear()
-        self._point(name)
 
-    def _rows(self) -> DataFrame:
-        if self._cached is not None:
-            return self._cached
-        name = self._current()
-        if name is None:
+    def _written(self, rows: DataFrame) -> str:
+        name = f"part-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _change(self, before: int, parts: list[list[str]]) -> None:
+        if len(parts) > COMPACT:
+            parts = [["rows", self._written(self._folded(parts).select(*self.schema.names))]]
+        self._commit(before, parts)
+
+    def _folded(self, parts: list[list[str]]) -> DataFrame:
+        """The rows of the parts, without those that a later part takes back."""
+        read = self.spark.read.schema(self.schema)
+        own = [(i, name) for i, (kind, name) in enumerate(parts) if kind == "rows"]
+        gone = [(i, name) for i, (kind, name) in enumerate(parts) if kind == "gone"]
+        if not own:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}")
+        if not gone:
+            return read.parquet(*[f"{self.path}/{name}" for _, name in own])
+        rows = reduce(DataFrame.unionAll, [read.parquet(f"{self.path}/{name}").withColumn("__part", F.lit(i)) for i, name in own])
+        ids = reduce(DataFrame.unionAll, [self.spark.read.schema("id long").parquet(f"{self.path}/{name}").withColumn("__gone", F.lit(i)) for i, name in gone])
+        left = rows.join(ids.groupBy("id").agg(F.max("__gone").alias("__gone")), "id", "left")
+        return left.where("__gone IS NULL OR __gone <= __part").select(*self.schema.names)
+
+    def _rows(self) -> DataFrame:
+        return self._cached if self._cached is not None else self._folded(self._parts()[1])
 
     # reading
     def get(self, ids: Sequence[int] | None = None) -> DataFrame:
@@ -135,54 +170,71 @@ class EmbeddingStore:
         return S.search(rows, embedding, k, threshold, sims=sims, order="_seq")
 
     # writing
-    def _checked(self, rows: DataFrame) -> DataFrame:
+    @contextmanager
+    def _staged(self, rows: DataFrame, order: str | None) -> Iterator[DataFrame]:
+        """rows (id, date, embedding, _o), written once and checked; gone at the end."""
         if Encoding.of(rows.schema["embedding"].dataType) is not self.encoding:
             raise InvalidEmbeddingType(f"the store is {self.encoding.value}")
-        bad = rows.agg(F.count_if(F.col("embedding").isNull() | (F.size("embedding") != self.dim))).first()[0]
-        if bad:
-            raise InvalidEmbeddingDimension(f"{bad} embeddings are not of dimension {self.dim}")
-        return rows
+        place = F.col(order).cast("long") if order else F.monotonically_increasing_id()
+        rows = rows.select("id", "date", "embedding", place.alias("_o"))
+        path = f"{self.path}/.staged-{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(path)
+            rows = self.spark.read.schema(rows.schema).parquet(path)
+            bad = rows.agg(F.count_if(F.col("embedding").isNull() | (F.size("embedding") != self.dim))).first()[0]
+            if bad:
+                raise InvalidEmbeddingDimension(f"{bad} embeddings are not of dimension {self.dim}")
+            yield rows
+        finally:
+            self._fs.delete(self._Path(path), True)
 
     def add(self, rows: DataFrame, order: str | None = None) -> int:
         """Appends rows (id, date, embedding) whose id is new; returns how many rows that were."""
-        rows = self._checked(rows)
-        rows = rows.withColumn("_o", F.col(order).cast("long") if order else F.monotonically_increasing_id())
-        store = self._rows()
-        last = store.agg(F.coalesce(F.max("_seq"), F.lit(-1))).first()[0]
-        fresh = insert_absent(store, rows.select("id", "date", "embedding", "_o"))
-        count = fresh.count()
-        if count:
-            placed = dedup_last(fresh, "_o").withColumn("_seq", F.col("_o") + (last + 1)).drop("_o")
-            self._write(store.unionByName(placed))
+        with self._staged(rows, order) as rows:
+            before, parts = self._parts()
+            store = self._folded(parts)
+            last = store.agg(F.coalesce(F.max("_seq"), F.lit(-1))).first()[0]
+            fresh = insert_absent(store, rows)
+            count = fresh.count()
+            if count:
+                placed = dedup_last(fresh, "_o").withColumn("_seq", F.col("_o") + (last + 1))
+                self._change(before, [*parts, ["rows", self._written(placed.select(*self.schema.names))]])
         return count
 
     def update(self, rows: DataFrame, order: str | None = None) -> int:
         """Overwrites rows whose id is present; returns how many of the given rows that were."""
-        rows = self._checked(rows)
-        rows = rows.withColumn("_o", F.col(order).cast("long") if order else F.monotonically_increasing_id())
-        store = self._rows()
-        known = rows.join(store.select("id"), "id", "left_semi")
-        count = known.count()
-        if count:
-            self._write(update_present(store, known, "_o"))
+        with self._staged(rows, order) as rows:
+            before, parts = self._parts()
+            store = self._folded(parts)
+            known = rows.join(store.select("id", "_seq"), "id")
+            count = known.count()
+            if count:
+                changed = dedup_last(known, "_o").drop("_o").join(store.select("id", "_seq"), "id")
+                name = self._written(changed.select(*self.schema.names))
+                self._change(before, [*parts, ["gone", name], ["rows", name]])
         return count
 
     def remove(self, ids: Sequence[int] | DataFrame) -> int:
         """Deletes; returns how many rows went."""
         own = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(int(i),) for i in set(ids)], "id long")
-        store = self._rows()
-        count = store.join(own.select("id"), "id", "left_semi").count()
+        before, parts = self._parts()
+        if not parts:
+            return 0
+        name = self._written(self._folded(parts).select("id").join(own.select("id"), "id", "left_semi"))
+        count = self.spark.read.schema("id long").parquet(f"{self.path}/{name}").count()
         if count:
-            self._write(remove_ids(store, own))
+            self._change(before, [*parts, ["gone", name]])
+        else:
+            self._fs.delete(self._Path(f"{self.path}/{name}"), True)
         return count
 
     def save(self) -> None:
-        """Compacts the store into one fresh snapshot and deletes older ones."""
-        if not self.exists:
+        """Compacts the store into one fresh part and deletes older parts and versions."""
+        before, parts = self._parts()
+        if before < 0:
             return
-        old = self._current()
-        self._write(self._rows())
+        name = self._written(self._folded(parts).select(*self.schema.names))
+        self._commit(before, [["rows", name]])
         for f in self._fs.listStatus(self._Path(self.path)):
-            name = f.getPath().getName()
-            if name.startswith("snapshot-") and (name == old or name != self._current()):
+            if f.getPath().getName() not in (name, f"version-{before + 1:012d}"):
                 self._fs.delete(f.getPath(), True)

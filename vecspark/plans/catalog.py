@@ -374,15 +374,16 @@ def date_lookup(spark, sf):
     return ST.with_dates(e, e.where("id % 3 = 0").select("id", (F.col("id") * 10).alias("date")), 1_700_000_000_000)
 
 
-@query("SELECT vec_id AS id, (vec_id + 1) * 100 AS date FROM embeddings WHERE vec_id < 300 AND vec_id % 10 <> 0")
+@query("SELECT vec_id AS id, (vec_id + 1) * 100 AS date FROM embeddings WHERE label <> 9")
 def store_lifecycle(spark, sf):
+    """The whole table goes in, in two overlapping parts by label; the ids of one label go again."""
     import uuid
 
-    s = _store(spark, sf)
+    s = _store(spark, sf).join(_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
     store = ST.EmbeddingStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", 64)
-    store.add(s.where("id < 200"), "id")
-    store.add(s.where("id >= 100 AND id < 300"), "id")
-    store.remove(s.where("id % 10 = 0").select("id"))
+    store.add(s.where("label < 6"), "id")
+    store.add(s.where("label >= 4"), "id")
+    store.remove(s.where("label = 9").select("id"))
     return store.get().select("id", "date")
 
 
@@ -460,10 +461,18 @@ def bpe(spark, sf):
     return _clip(spark, sf).select("doc_id", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda t, x: t + x).alias("total"))
 
 
-@query()
+@query(
+    """WITH w AS (SELECT doc_id, ([49406] || list_transform(string_split(lower(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')), ' '), lambda x: length(x)::INTEGER) || [49407])[:77] AS ids FROM documents),
+    f AS (SELECT doc_id, list_resize(ids, 77, 0) AS ids FROM w)
+    SELECT doc_id, len(ids)::INTEGER AS n, ids[1] AS head, ids[77] AS tail, list_sum(ids)::BIGINT AS total FROM f"""
+)
 def clip_frame(spark, sf):
+    """Frames of the numbers of letters of each text's words, in place of tokens."""
+    words = F.transform(F.split(T.clip_clean("text"), " "), lambda x: F.length(x))
     f = T.clip_frame("ids")
-    return _clip(spark, sf).select("doc_id", F.size(f).alias("n"), F.element_at(f, 1).alias("head"), F.element_at(f, 77).alias("tail"))
+    docs = _table(spark, sf, "documents").select("doc_id", words.alias("ids"))
+    total = F.aggregate(f, F.lit(0).cast("long"), lambda t, x: t + x)
+    return docs.select("doc_id", F.size(f).alias("n"), F.element_at(f, 1).alias("head"), F.element_at(f, 77).alias("tail"), total.alias("total"))
 
 
 _VOCAB = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *".,!?;:()\"'", "the", "and", "of", "to", "tion", "er", "##er", "##tion", "##in", "##th", "##ent", *"abcdefghijklmnopqrstuvwxyz", *[f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz"]]
@@ -600,7 +609,13 @@ def corner_order(spark, sf):
     return o.select("id", *[F.get("o", F.lit(i))["x"].alias(f"x{i}") for i in range(4)])
 
 
-@query()
+@query(
+    f"""WITH q AS (SELECT p_partkey AS id, unnest(range(4)) AS i, unnest({_QUAD}) AS p FROM part),
+    r AS (SELECT id, p, row_number() OVER (PARTITION BY id ORDER BY p.x, i) AS n FROM q),
+    f AS (SELECT id, max(p) FILTER (n = 1) AS a, max(p) FILTER (n = 2) AS b, max(p) FILTER (n = 3) AS c, max(p) FILTER (n = 4) AS d FROM r GROUP BY id),
+    o AS (SELECT id, CASE WHEN b.y > a.y THEN a ELSE b END AS p0, CASE WHEN d.y > c.y THEN c ELSE d END AS p1, CASE WHEN d.y > c.y THEN d ELSE c END AS p2, CASE WHEN b.y > a.y THEN b ELSE a END AS p3 FROM f)
+    SELECT id, p0.x AS x0, p0.y AS y0, p1.x AS x1, p1.y AS y1, p2.x AS x2, p2.y AS y2, p3.x AS x3, p3.y AS y3 FROM o"""
+)
 def quad_order(spark, sf):
     k, s = F.col("p_partkey"), F.col("p_size")
     point = lambda x, y: F.struct(x.cast("float").alias("x"), y.cast("float").alias("y"))
@@ -614,7 +629,19 @@ def _scored_boxes(spark, sf):
     return _boxes(spark, sf).select((F.col("id") % 20).alias("image_id"), F.col("id").alias("box_id"), "box.*", score.alias("score"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE b AS (SELECT id % 20 AS image_id, id AS box_id, x1, y1, x2, y2,
+        row_number() OVER (PARTITION BY id % 20 ORDER BY ((id * 37 % 1009)::DOUBLE / 1009)::FLOAT DESC, id) AS n FROM (SELECT {_BOX} FROM part)),
+    k AS (SELECT DISTINCT image_id, 0::BIGINT AS n, []::STRUCT(box_id BIGINT, x1 FLOAT, y1 FLOAT, x2 FLOAT, y2 FLOAT)[] AS kept FROM b
+      UNION ALL
+      SELECT b.image_id, b.n, CASE WHEN len(list_filter(kept, lambda t:
+          ((greatest(0, least(t.x2, b.x2) - greatest(t.x1, b.x1)) * greatest(0, least(t.y2, b.y2) - greatest(t.y1, b.y1)))::FLOAT /
+           ((t.x2 - t.x1) * (t.y2 - t.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(t.x2, b.x2) - greatest(t.x1, b.x1)) * greatest(0, least(t.y2, b.y2) - greatest(t.y1, b.y1)))::FLOAT)::FLOAT > 0.3::FLOAT)) = 0
+        THEN list_append(kept, {{'box_id': b.box_id, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}}) ELSE kept END
+      FROM k JOIN b ON b.image_id = k.image_id AND b.n = k.n + 1),
+    l AS (SELECT image_id, arg_max(kept, n) AS kept FROM k GROUP BY image_id)
+    SELECT image_id, unnest(list_transform(kept, lambda t: t.box_id)) AS box_id, unnest(range(len(kept)))::INTEGER AS rank FROM l"""
+)
 def nms(spark, sf):
     return I.nms_rows(_scored_boxes(spark, sf), 0.3)
 
