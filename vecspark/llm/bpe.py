@@ -12,9 +12,12 @@ contractions; bytes as printable characters; `</w>` on a piece's last symbol. Th
 special strings are found in the raw text first. Pieces never span white space, so each
 distinct white-space-delimited chunk of a run of texts is encoded once.
 
-Code points that the Unicode tables of this Python do not know are split as symbols and keep
-their case. Null texts are empty and give no tokens. Rows are independent: repeated ids and ties
-keep one output row each.
+Unicode tables differ: the library's normalisation and its classes are of other versions than this Python's. Chunks with a
+code point that this Python does not know, or with a mark on which both disagree (found by comparing them on all marks,
+once a worker, when a text has characters from U+0300 on), take their normal form and pieces from the library; merging is
+the same for all. Null texts are empty and give no tokens. Rows are independent: repeated ids and ties
+keep one output row each. Texts may have any length, columns of clashing names are told apart, and an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -71,6 +74,7 @@ class Encoder:
     """One tokenizer file; encode() and decode() take whole texts."""
 
     def __init__(self, path: str, limit: int = CACHE):
+        self.path = path
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -203,14 +207,19 @@ class Encoder:
         return np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], ends])], left[kept].astype(np.uint32)
 
     def _parts(self, chunk: str) -> list[bytes | int]:
-        """The pieces of a chunk that holds special strings, those as their ids."""
+        """The pieces of a chunk that holds special strings (those as their ids) or characters that the library knows better."""
         out: list[bytes | int] = []
         at = 0
         for m in self._special.finditer(chunk) if self._special else ():
-            out += [p.encode() for p in pieces(folded(chunk[at : m.start()]))]
+            out += self._pieces(chunk[at : m.start()])
             out.append(self.special[m[0]])
             at = m.end()
-        return out + [p.encode() for p in pieces(folded(chunk[at:]))]
+        return out + self._pieces(chunk[at:])
+
+    def _pieces(self, text: str) -> list[bytes]:
+        if not text.isascii() and max(text) >= "\u0300" and (own := library(self.path)).knows_better(text):
+            return own.pieces(text)
+        return [p.encode() for p in pieces(folded(text))]
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -236,7 +245,11 @@ class Encoder:
 
     def _of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of distinct chunks; one regular expression and one merge serve all of them."""
-        special = [i for i, c in enumerate(chunks) if "<|" in c]
+        special = {i for i, c in enumerate(chunks) if "<|" in c}
+        joined = "\n".join(chunks)
+        if not joined.isascii() and max(joined) >= "\u0300" and (own := library(self.path)).knows_better(joined):
+            special |= {i for i, c in enumerate(chunks) if own.knows_better(c)}
+        special = sorted(special)
         plain = chunks
         if special:
             plain = chunks.copy()
@@ -285,27 +298,43 @@ class Encoder:
         return self.decode_all(np.array([0, len(ids)]), ids)[0].as_py()
 
 
+class Library:
+    """The tokenizers library's normal form and pieces of a text, for what Unicode tables disagree on."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self._byte = {c: b for b, c in enumerate(byte_characters())}
+        self.foreign = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+        marks = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M"]
+        self.foreign[[ord(c) for c in self._disagreed(marks)]] = True
+
+    def pieces(self, text: str) -> list[bytes]:
+        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
+        return [bytes(self._byte[c] for c in piece) for piece, _ in found]
+
+    def _disagreed(self, chars: list[str]) -> list[str]:
+        """Those whose order or pieces differ from ours, before a mark of the lowest class and after one of the highest; by halves."""
+        text = " ".join(f"a{c}\u0338 b\u0345{c}" for c in chars)
+        if self.pieces(text) == [p.encode() for p in pieces(folded(text))]:
+            return []
+        if len(chars) == 1:
+            return chars
+        half = len(chars) // 2
+        return self._disagreed(chars[:half]) + self._disagreed(chars[half:])
+
+    def knows_better(self, text: str) -> bool:
+        return not text.isascii() and bool(self.foreign[[ord(c) for c in set(text)]].any())
+
+
 @cache
-def _newer() -> tuple[frozenset[str], regex.Pattern]:
-    """Letters and digits that the tokenizer's Unicode tables do not have yet; the pieces without them."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    new = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
-    heads = [c for c, before in zip(new, [-2, *new], strict=False) if c != before + 1]
-    tails = [c for c, after in zip(new, [*new[1:], -1], strict=True) if c != after - 1]
-    own = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(heads, tails, strict=True))
-    if not own:
-        return frozenset(), _PIECES
-    return frozenset(map(chr, new)), regex.compile(
-        rf"(?V1)\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{own}]]+|[\p{{N}}--[{own}]]|(?:[^{_WS}\p{{L}}\p{{N}}]|[{own}])+"
-    )
+def library(path: str) -> Library:
+    return Library(path)
 
 
 def pieces(text: str) -> list[str]:
     """The pieces of a folded text, with its line ends."""
-    if not text.isascii():
-        new, without = _newer()
-        if not new.isdisjoint(set(text)):
-            return without.findall(text)
     return _PIECES.findall(text)
 
 
