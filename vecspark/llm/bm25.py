@@ -3,13 +3,13 @@
 A query is the set of a document's distinct words. Document frequencies, the number of
 documents and their mean length are counted over all documents first. Each run of
 documents of bounded size (a shard, inside one task) is indexed in memory: postings by term
-with their BM25 impacts, each term's largest impact, and for frequent terms the largest
-impact of each block of documents.
+with their BM25 impacts, cut by blocks of documents, and each term's largest impact in each block.
 
-For each query, the postings of its rare terms give each document a partial score. A block
-of documents goes on only if its best partial score and its largest impacts of the frequent
-terms together reach the running threshold (the k-th best score so far); in the blocks
-left, frequent terms are added. The documents that reach the threshold or the shard's own
+For each query, the largest impacts of its terms in a block bound what any document there can reach. Blocks are opened
+from the highest bound on, and the postings of a block are read only if its bound reaches the running threshold (the k-th best
+score so far). This is WAND with block maxima at the grain of blocks: where its pivot would skip a block, the block is not
+opened; within an open block all documents are scored at once by array operations instead of a cursor for each term. The
+documents that reach the threshold or the shard's own
 k-th best are scored again from a forward index, in double precision. The threshold
 carries over between the shards that one Python worker handles, as the k-th best of any
 part bounds the k-th best of the whole from below. Shards emit at most k rows a query;
@@ -104,12 +104,17 @@ def _terms(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "query_id long, term long").distinct()
 
 
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, .. of each size, one after the other."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else np.zeros(0, int)
+
+
 class Shard:
     """Inverted and forward index of a run of documents, in blocks of BLOCK documents.
 
-    Terms in at least a sixteenth of the documents are frequent: their impacts are rows of
-    a table by block and document, with each block's largest beside it. The others have
-    posting lists.
+    Each term has its largest impact in each block that holds it. Terms in at least a sixteenth of the documents are
+    frequent: their impacts are rows of a table by block and document. The others have
+    posting lists, cut by block.
     """
 
     def __init__(self, texts: pa.Array, mean: float):
@@ -133,7 +138,13 @@ class Shard:
         rare = np.flatnonzero(~wide)
         rare = rare[np.argsort(slot[rare], kind="stable")]
         self.doc, self.impact = rows[rare].astype(np.int32), impact[rare]
-        self.at = np.searchsorted(slot[rare], np.arange(len(self.terms) + 1))
+        # runs of postings of one term in one block
+        own, block = slot[rare], self.doc // BLOCK
+        self.run = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (block[1:] != block[:-1])])) if len(rare) else np.zeros(0, int)
+        self.run_n = np.diff(np.concatenate([self.run, [len(rare)]]))
+        self.run_block = block[self.run]
+        self.run_most = np.maximum.reduceat(self.impact, self.run) if len(rare) else np.zeros(0)
+        self.at = np.searchsorted(own[self.run], np.arange(len(self.terms) + 1))
         self.weight = np.zeros(len(self.terms))
 
     def search(self, terms: np.ndarray, idf: np.ndarray, theta: float, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,29 +157,37 @@ class Shard:
         if not len(slot):
             return none
         row = self.often[slot]
-        x = self.at[slot]
-        n = self.at[slot + 1] - x
-        spot = np.repeat(x - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        score = np.bincount(self.doc[spot], np.repeat(idf, n) * self.impact[spot], self.blocks * BLOCK).astype(np.float64).reshape(self.blocks, BLOCK)
-        if (row >= 0).any():
-            row, w = row[row >= 0], idf[row >= 0].astype(np.float32)
-            # a block counts only if its best document could reach the threshold
-            bound = score.max(axis=1) + w @ self.block_most[row]
-            live = np.flatnonzero((bound >= theta * (1 - MARGIN)) & (bound > 0))
-            if not len(live):
-                return none
-            if len(live) == self.blocks:
-                score += np.tensordot(w, self.table[row], 1)
-            else:
-                score[live] += np.tensordot(w, self.table[row[:, None], live[None, :]], 1)
-                dead = np.ones(self.blocks, bool)
-                dead[live] = False
-                score[dead] = 0
+        runs = _spans(self.at[slot], self.at[slot + 1] - self.at[slot])
+        weight = np.repeat(idf, self.at[slot + 1] - self.at[slot])
+        block = self.run_block[runs]
+        w, row = idf[row >= 0].astype(np.float32), row[row >= 0]
+        # no document of a block can have more than the terms' largest impacts there
+        bound = np.bincount(block, weight * self.run_most[runs], self.blocks) + w @ self.block_most[row]
+        order = np.argsort(-bound, kind="stable")
+        left = -bound[order]
+        score = np.zeros((self.blocks, BLOCK))
+        # without a threshold yet, a few blocks give one
+        need, done, wave = theta, 0, self.blocks if theta > 0 else 1 + 2 * k // BLOCK
+        while True:
+            # the blocks with the highest bounds first; those that cannot reach the threshold are never opened
+            last = int(np.searchsorted(left, -max(need * (1 - MARGIN), 1e-300), side="right"))
+            some = order[done : min(last, done + wave)]
+            if not len(some):
+                break
+            open_ = np.zeros(self.blocks, bool)
+            open_[some] = True
+            mine = open_[block]
+            n = self.run_n[runs[mine]]
+            spot = _spans(self.run[runs[mine]], n)
+            score += np.bincount(self.doc[spot], np.repeat(weight[mine], n) * self.impact[spot], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+            if len(row):
+                score[some] += np.tensordot(w, self.table[row[:, None], some[None, :]], 1)
+            flat = score.reshape(-1)
+            flat[skip] = 0
+            done, wave = done + len(some), self.blocks
+            if np.count_nonzero(flat) > k:
+                need = max(need, float(np.partition(flat, len(flat) - k)[len(flat) - k]))
         score = score.reshape(-1)[: self.n]
-        score[skip] = 0
-        need = theta
-        if np.count_nonzero(score) > k:
-            need = max(need, float(np.partition(score, self.n - k)[self.n - k]))
         found = np.flatnonzero((score >= need * (1 - MARGIN)) & (score > 0))
         if not len(found):
             return none
