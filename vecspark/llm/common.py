@@ -95,6 +95,7 @@ def pairs_with(scratch: Scratch, pairs: DataFrame, table: DataFrame, hub: str, o
     A hub's pairs are cut to groups of about `group`, each of which gets its value once, so one hub may have any number.
     """
     hubs = scratch.put(pairs.groupBy(hub).agg(F.ceil(F.count("*") / group).cast("int").alias("groups")), "hubs")
+    hubs = small_side(hubs, hubs.count())
     copies = table.select(F.col(key).alias(hub), F.col(value).alias(f"{hub}_{value}")).join(hubs, hub)
     copies = copies.withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
     cut = pairs.join(hubs, hub).withColumn("grp", F.pmod(F.xxhash64(other), F.col("groups")).cast("int")).drop("groups")
@@ -110,17 +111,18 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = scratch.put(e, "edges")
-    before = None
+    rows, before = e.count(), None
     while True:
+        # no side has more rows than there are edges in both directions; few are broadcast, many are shuffled
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.where("b > a").join(small_side(low, 2 * rows), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(small_side(low, 2 * rows), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = scratch.put(low.select("a", F.col("m").alias("b")).unionAll(small).where("a <> b").distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     labels = e.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels.unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

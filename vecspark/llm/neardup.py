@@ -295,12 +295,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, id_
     # one row stands for a class: one with its smallest id; rows that share an id are told apart by their sets
     wanted = scratch.put(links.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid"), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
-    found = texts.join(small_side(wanted, wanted.count(), BROADCAST_ROWS), "rep").select("cid", "text")
+    size = wanted.count()  # no table of linked classes has more rows
+    found = texts.join(small_side(wanted, size, BROADCAST_ROWS), "rep").select("cid", "text")
     sets = scratch.put(_sets(found).dropDuplicates(["cid"]), "sets")
     # most groups are joined by their candidate links alone
     tested = scratch.put(_tested(scratch, links, sets, percent), "tested")
     parts = scratch.put(components(scratch, tested.where("linked").select("a", "b")), "parts")
-    rest = _undecided(scratch, tested, parts, classes)
+    rest = _undecided(scratch, tested, parts, classes, size)
     if rest is not None:
         own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
         units = (
@@ -310,16 +311,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, id_
             .select("grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "cid", "shingles")
         )
         more = units.repartition("grp", "p", "q").sortWithinPartitions("grp", "p", "q", "cid").mapInArrow(_confirmed(percent), "a long, b long")
-        more = scratch.put(_between(more, parts), "more")
+        more = scratch.put(_between(more, parts, size), "more")
         if not more.isEmpty():
             merged = components(scratch, more).select(F.col("label").alias("to"), F.col("node").alias("label"))
             inner = parts.unionAll(merged.join(parts.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), "label"))
             parts = inner.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    named = parts.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
-    lowest = named.groupBy("label").agg(F.min("rep").alias("component"))
+    named = scratch.put(small_side(parts, size).join(classes.select(F.col("cid").alias("node"), "rep"), "node"), "members")
+    lowest = small_side(named.groupBy("label").agg(F.min("rep").alias("component")), size)
     # every class: its component's smallest id, or its own
     merged = named.join(lowest, "label").select(F.col("node").alias("cid"), "component")
-    classes = classes.select("cid", "rep", "copies").join(merged, "cid", "left").select("cid", "copies", F.coalesce("component", "rep").alias("component"))
+    classes = classes.select("cid", "rep", "copies").join(small_side(merged, size), "cid", "left").select("cid", "copies", F.coalesce("component", "rep").alias("component"))
     classes = scratch.put(classes, "named")
     hot = [r[0] for r in classes.where(F.col("copies") > hot_bound(spark, classes.agg(F.sum("copies")).first()[0] or 0)).select("cid").collect()]
     alone = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -327,22 +328,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, id_
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _between(links: DataFrame, parts: DataFrame) -> DataFrame:
-    """The links (a, b) as links of different parts."""
-    of = parts.select("node", "label")
-    links = links.join(of.select(F.col("node").alias("a"), F.col("label").alias("x")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("label").alias("y")), "b", "left")
+def _between(links: DataFrame, parts: DataFrame, rows: int) -> DataFrame:
+    """The links (a, b) as links of different parts, which have so many rows at most."""
+    x, y = (small_side(parts.select(F.col("node").alias(n), F.col("label").alias(p)), rows) for n, p in (("a", "x"), ("b", "y")))
+    links = links.join(x, "a", "left").join(y, "b", "left")
     return links.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b").distinct()
 
 
-def _undecided(scratch: Scratch, tested: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame | None:
+def _undecided(scratch: Scratch, tested: DataFrame, parts: DataFrame, classes: DataFrame, size: int) -> DataFrame | None:
     """(grp, blocks, cid) of the parts that refused links connect, where not all pairs of classes were compared."""
-    refused = scratch.put(_between(tested.where("not linked").select("a", "b"), parts), "refused")
+    refused = scratch.put(_between(tested.where("not linked").select("a", "b"), parts, size), "refused")
     if refused.isEmpty():
         return None
     groups = components(scratch, refused).select(F.col("node").alias("part"), F.col("label").alias("grp"))
     of = parts.select(F.col("node").alias("cid"), F.col("label").alias("part"))
     alone = groups.join(of.select("part"), "part", "left_anti").select(F.col("part").alias("cid"), "grp")
-    members = scratch.put(groups.join(of, "part").select("cid", "grp").unionAll(alone), "members")
+    members = scratch.put(small_side(of, size).join(groups, "part").select("cid", "grp").unionAll(alone), "members")
     tried = tested.join(members.select(F.col("cid").alias("a"), "grp"), "a").groupBy("grp").agg(F.count("*").alias("tried"))
     sized = members.join(classes.select("cid", "n"), "cid").groupBy("grp").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     open_ = sized.join(tried, "grp").where(F.col("tried") < F.col("docs") * (F.col("docs") - 1) / 2)
