@@ -72,6 +72,34 @@ def test_pruning_keeps_the_best(spark):
     check(S.top_documents(spark, df, df.where("doc_id % 100 = 0")), brute(docs, queries), 10)
 
 
+def test_long_queries_cost_little_beside_the_index():
+    """Queries of hundreds of words, on which bounds skip nothing: the work of a run is a small part of indexing the shard."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.Generator(np.random.PCG64(3))
+    words_ = np.minimum(r.zipf(1.25, (6000, 300)), 10**6)
+    texts = pa.array([" ".join(map("w{}".format, row)) for row in words_.tolist()])
+    began = time.perf_counter()
+    shard = S.Shard(texts, 300.0)
+    indexed = time.perf_counter() - began
+    rows, terms, _, _ = S._bags(texts.slice(0, 256))
+    own = [(terms[rows == i], 1 + np.arange(int((rows == i).sum())) / 7) for i in range(256)]
+    began = time.perf_counter()
+    got = [o for x in range(0, 256, S.RUN) for o in shard.search_run(own[x : x + S.RUN], np.zeros(S.RUN), 10, [np.array([x + i]) for i in range(S.RUN)])]
+    assert time.perf_counter() - began < indexed / 4
+    forward = np.repeat(np.arange(6000), np.diff(shard.f_at))
+    for i in range(0, 256, 16):
+        weight = np.zeros(len(shard.terms))
+        weight[np.searchsorted(shard.terms, own[i][0])] = own[i][1]
+        score = np.bincount(forward, weight[shard.f_slot] * shard.f_impact)
+        score[i] = 0
+        found, exact = got[i]
+        assert np.allclose(score[found], exact) and set(np.argsort(-score)[:10].tolist()) <= set(found.tolist())
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

@@ -1,15 +1,14 @@
-"""Exact BM25 top-k search with block-max dynamic pruning, run by shard.
+"""Exact BM25 top-k search, run by shard.
 
 A query is the set of a document's distinct words. Document frequencies, the number of
 documents and their mean length are counted over all documents first. Each run of
 documents of bounded size (a shard, inside one task) is indexed in memory: postings by term
-with their BM25 impacts, cut by blocks of documents, and each term's largest impact in each block.
+with their BM25 impacts; for frequent terms, a table by document.
 
-For each query, the largest impacts of its terms in a block bound what any document there can reach. Blocks are opened
-from the highest bound on, and the postings of a block are read only if its bound reaches the running threshold (the k-th best
-score so far). This is WAND with block maxima at the grain of blocks: where its pivot would skip a block, the block is not
-opened; within an open block all documents are scored at once by array operations instead of a cursor for each term. The
-documents that reach the threshold or the shard's own
+Scores of frequent terms are a product of matrices: a run of queries by terms, and terms by documents, which hardly costs
+more than reading the table once a run. Postings of rare terms are then added for each query. Queries are whole documents of
+hundreds of terms, for which bounds by block or term skip next to nothing but cost as much as the scores
+they bound, so none are kept. The documents that reach the threshold (the k-th best score so far) or the shard's own
 k-th best are scored again from a forward index, in double precision. The threshold
 carries over between the shards that one Python worker handles, as the k-th best of any
 part bounds the k-th best of the whole from below. Shards emit at most k rows a query;
@@ -37,7 +36,8 @@ from vecspark.llm.common import Scratch, read
 K1, B = 1.2, 0.75
 TOP = 10
 SHARD_BYTES = 32 << 20
-BLOCK = 64
+#: Queries whose frequent terms are scored at once.
+RUN = 64
 #: (query, term) pairs, of 16 bytes, that one pass over the shards may take, and that the driver handles at once.
 PASS_PAIRS = 4_000_000
 PIECE_PAIRS = 100_000
@@ -110,17 +110,15 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Inverted and forward index of a run of documents, in blocks of BLOCK documents.
+    """Inverted and forward index of a run of documents.
 
-    Each term has its largest impact in each block that holds it. Terms in at least a sixteenth of the documents are
-    frequent: their impacts are rows of a table by block and document. The others have
-    posting lists, cut by block.
+    Terms in at least a sixteenth of the documents are frequent: their impacts are rows of a table by document.
+    The others have posting lists.
     """
 
     def __init__(self, texts: pa.Array, mean: float):
         rows, terms, tf, sizes = _bags(texts)
         self.n = len(texts)
-        self.blocks = max(1, -(-self.n // BLOCK))
         norm = K1 * (1 - B + B * sizes / max(mean, 1e-9))
         self.terms, slot = np.unique(terms, return_inverse=True)
         impact = tf * (K1 + 1) / (tf + norm[rows])
@@ -131,63 +129,47 @@ class Shard:
         often = size >= max(8, self.n // 16)
         self.often = np.where(often, np.cumsum(often) - 1, -1)
         wide = often[slot]
-        table = np.zeros((int(often.sum()), self.blocks * BLOCK), np.float32)
+        table = np.zeros((int(often.sum()), self.n), np.float32)
         table[self.often[slot[wide]], rows[wide]] = impact[wide]
-        self.table = table.reshape(len(table), self.blocks, BLOCK)
-        self.block_most = self.table.max(axis=2) if len(table) else np.zeros((0, self.blocks), np.float32)
+        self.table = table
         rare = np.flatnonzero(~wide)
         rare = rare[np.argsort(slot[rare], kind="stable")]
         self.doc, self.impact = rows[rare].astype(np.int32), impact[rare]
-        # runs of postings of one term in one block
-        own, block = slot[rare], self.doc // BLOCK
-        self.run = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (block[1:] != block[:-1])])) if len(rare) else np.zeros(0, int)
-        self.run_n = np.diff(np.concatenate([self.run, [len(rare)]]))
-        self.run_block = block[self.run]
-        self.run_most = np.maximum.reduceat(self.impact, self.run) if len(rare) else np.zeros(0)
-        self.at = np.searchsorted(own[self.run], np.arange(len(self.terms) + 1))
+        self.at = np.searchsorted(slot[rare], np.arange(len(self.terms) + 1))
         self.weight = np.zeros(len(self.terms))
 
-    def search(self, terms: np.ndarray, idf: np.ndarray, theta: float, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores): those that reach theta and may be among the best k, with their exact scores; skip: left out."""
-        none = np.zeros(0, int), np.zeros(0)
+    def slots(self, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, weights) of the terms that are here."""
         slot = np.searchsorted(self.terms, terms)
         slot[slot == len(self.terms)] = 0
         here = self.terms[slot] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        slot, idf = slot[here], idf[here]
+        return slot[here], idf[here]
+
+    def search_run(self, queries: list[tuple[np.ndarray, np.ndarray]], theta: np.ndarray, k: int, skip: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, idf): see search."""
+        queries = [self.slots(*q) for q in queries]
+        weights = np.zeros((len(queries), len(self.table)), np.float32)
+        for at, (slot, idf) in enumerate(queries):
+            row = self.often[slot]
+            weights[at, row[row >= 0]] = idf[row >= 0]
+        for (slot, idf), frequent, least, out in zip(queries, weights @ self.table, theta.tolist(), skip, strict=True):
+            yield self.search(slot, idf, frequent, least, k, out)
+
+    def search(self, slot: np.ndarray, idf: np.ndarray, frequent: np.ndarray, theta: float, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores): those that reach theta and may be among the best k, with their exact scores; skip: left out.
+
+        frequent has what the frequent terms give each document.
+        """
+        none = np.zeros(0, int), np.zeros(0)
         if not len(slot):
             return none
-        row = self.often[slot]
-        runs = _spans(self.at[slot], self.at[slot + 1] - self.at[slot])
-        weight = np.repeat(idf, self.at[slot + 1] - self.at[slot])
-        block = self.run_block[runs]
-        w, row = idf[row >= 0].astype(np.float32), row[row >= 0]
-        # no document of a block can have more than the terms' largest impacts there
-        bound = np.bincount(block, weight * self.run_most[runs], self.blocks) + w @ self.block_most[row]
-        order = np.argsort(-bound, kind="stable")
-        left = -bound[order]
-        score = np.zeros((self.blocks, BLOCK))
-        # without a threshold yet, a few blocks give one
-        need, done, wave = theta, 0, self.blocks if theta > 0 else 1 + 2 * k // BLOCK
-        while True:
-            # the blocks with the highest bounds first; those that cannot reach the threshold are never opened
-            last = int(np.searchsorted(left, -max(need * (1 - MARGIN), 1e-300), side="right"))
-            some = order[done : min(last, done + wave)]
-            if not len(some):
-                break
-            open_ = np.zeros(self.blocks, bool)
-            open_[some] = True
-            mine = open_[block]
-            n = self.run_n[runs[mine]]
-            spot = _spans(self.run[runs[mine]], n)
-            score += np.bincount(self.doc[spot], np.repeat(weight[mine], n) * self.impact[spot], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
-            if len(row):
-                score[some] += np.tensordot(w, self.table[row[:, None], some[None, :]], 1)
-            flat = score.reshape(-1)
-            flat[skip] = 0
-            done, wave = done + len(some), self.blocks
-            if np.count_nonzero(flat) > k:
-                need = max(need, float(np.partition(flat, len(flat) - k)[len(flat) - k]))
-        score = score.reshape(-1)[: self.n]
+        size = self.at[slot + 1] - self.at[slot]
+        spot = _spans(self.at[slot], size)
+        score = np.bincount(self.doc[spot], np.repeat(idf, size) * self.impact[spot], self.n) + frequent
+        score[skip] = 0
+        need = theta
+        if np.count_nonzero(score >= max(need, 1e-300)) > k:
+            need = max(need, float(np.partition(score, len(score) - k)[len(score) - k]))
         found = np.flatnonzero((score >= need * (1 - MARGIN)) & (score > 0))
         if not len(found):
             return none
@@ -230,16 +212,19 @@ def _searched(docs: DataFrame, sent, run_id: str, mean: float, k: int) -> DataFr
             out: tuple[list, list, list] = ([], [], [])
             order = np.argsort(doc, kind="stable")
             own_from, own_to = np.searchsorted(doc[order], ids), np.searchsorted(doc[order], ids, side="right")
-            for q in range(len(ids)):
-                found, score = shard.search(terms[at[q] : at[q + 1]], idf[at[q] : at[q + 1]], theta[q], k, order[own_from[q] : own_to[q]])
-                if not len(found):
-                    continue
-                best = np.lexsort((doc[found], -score))[:k]
-                if len(best) == k:
-                    theta[q] = max(theta[q], score[best[-1]])
-                out[0].append(np.full(len(best), ids[q]))
-                out[1].append(doc[found[best]])
-                out[2].append(score[best])
+            for x in range(0, len(ids), RUN):
+                some = range(x, min(x + RUN, len(ids)))
+                own = [(terms[at[q] : at[q + 1]], idf[at[q] : at[q + 1]]) for q in some]
+                got = shard.search_run(own, theta[x : x + RUN].copy(), k, [order[own_from[q] : own_to[q]] for q in some])
+                for q, (found, score) in zip(some, got, strict=True):
+                    if not len(found):
+                        continue
+                    best = np.lexsort((doc[found], -score))[:k]
+                    if len(best) == k:
+                        theta[q] = max(theta[q], score[best[-1]])
+                    out[0].append(np.full(len(best), ids[q]))
+                    out[1].append(doc[found[best]])
+                    out[2].append(score[best])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "doc_id", "score"])
 
