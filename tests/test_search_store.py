@@ -1,6 +1,11 @@
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from vecspark import kernels
 from vecspark import schema as S
 from vecspark.operators import search as Q
 from vecspark.operators.ann import IvfIndex, recall
@@ -183,3 +188,42 @@ def test_two_writers_do_not_undo_each_other(spark, store):
     with pytest.raises(RuntimeError):
         store._commit(before, parts)
     assert ids(store.get()) == [1, 2]
+
+
+def test_best_equals_scoring_all_pairs(monkeypatch):
+    monkeypatch.setattr(kernels, "ROWS", 50)
+    monkeypatch.setattr(kernels, "CELLS", 600)
+    monkeypatch.setattr(kernels, "WAITING", 40)
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(400, 8)).astype(np.float32), rng.normal(size=(30, 8)).astype(np.float32)
+    x[100:130], q[4] = x[7], x[7]  # ties
+    odd, odd_q = x.copy(), q.copy()
+    odd[3], odd[60, 2], odd[61, 2], odd[200], odd[201], odd_q[5], odd_q[6, 1] = np.nan, np.inf, -np.inf, 1e30, 1e-30, np.nan, 3e38
+    cases = [(x, q), (odd, odd_q), (kernels.quantize(x / 5), kernels.quantize(q / 5)), (x.astype(np.float64), q.astype(np.float64))]
+    ids, order = np.arange(400), rng.permutation(400)
+    for rows, asked in cases:
+        with np.errstate(all="ignore"):
+            s = kernels.scores(rows, asked)
+        for k, threshold, nan_first in ((5, 0.1, False), (3, -np.inf, True), (1000, -1.0, False), (0, 0.0, False)):
+            best = kernels.Best(asked, k, threshold, nan_first)
+            for at in range(0, 400, 130):
+                best.add(ids[at : at + 130], order[at : at + 130], rows[at : at + 130])
+            got = best.result()
+            for j in range(len(asked)):
+                use = [i for i in range(400) if s[i, j] >= np.float32(threshold) or (nan_first and np.isnan(s[i, j]))]
+                use.sort(key=lambda i: (-np.inf if np.isnan(s[i, j]) else -s[i, j], not np.isnan(s[i, j]), order[i]))
+                own = got[0] == j
+                assert got[1][own].tolist() == use[:k] and np.array_equal(got[3][own], s[use[:k], j], equal_nan=True)
+
+
+def test_batch_search_holds_no_row_for_each_query():
+    rng = np.random.default_rng(1)
+    x, q = rng.normal(size=(4096, 4)).astype(np.float32), rng.normal(size=(8000, 4)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4096)), pa.array(np.arange(4096)), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "__order", "embedding"])
+    tracemalloc.start()
+    try:
+        got = sum(b.num_rows for b in Q._best(SimpleNamespace(value=(np.arange(8000), q)), 3, np.float32(-9e9))([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == 24_000 and peak < 128 << 20  # the similarities of all pairs take 512 MB
