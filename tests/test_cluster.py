@@ -139,3 +139,31 @@ def test_stream_equals_calls(spark, tmp_path):
     again = StreamClusterer(f"{tmp_path}/state")
     again(frame(spark, items), 2)  # a batch that was done before
     assert again.state.size == sink.state.size
+
+
+def test_an_item_costs_no_full_scan_of_the_state(monkeypatch):
+    rng = np.random.default_rng(0)
+    items = list(enumerate(kernels.normalize(v) for v in rng.normal(size=(400, 6)).astype(np.float32)))
+    items[130] = (130, items[10][1])
+    scored, real = [], kernels.scores
+    monkeypatch.setattr(kernels, "scores", lambda x, q: scored.append(len(x) * len(q)) or real(x, q))
+    s = K.Clusters()
+    s.add(items[:150])
+    s.add(items[150:])
+    assert sum(scored) < 20 * len(items)
+    monkeypatch.setattr(K._Rows, "best", lambda self, v, k: (np.arange(self.n), real(self.x[: self.n], v[None, :])[:, 0]))
+    full = K.Clusters()
+    full.add(items[:150])
+    full.add(items[150:])
+    assert full.assigned == s.assigned and full.mean == s.mean and all(map(np.array_equal, full.protos, s.protos))
+
+
+def test_running_mean_of_numbers_that_come_and_go():
+    sums = K._Sum([np.float32(0.1), np.float32(0.7)])
+    sums.change(np.float32("nan"), 1)
+    assert math.isnan(sums.mean())
+    sums.change(np.float32("nan"), -1)
+    sums.change(np.float32(0.1), -1)
+    assert sums.mean() == np.float32(0.7)
+    sums.change(np.float32(0.7), -1)
+    assert sums.mean() == 0
