@@ -125,3 +125,25 @@ def test_quads_and_crops(spark):
 def test_reading_order():
     assert I.reading_order([(50, 12), (10, 10), (5, 60), (30, 5)]) == [1, 3, 0, 2]
     assert I.reading_order([]) == []
+
+
+def test_images_are_dealt_by_number(spark, sf):
+    from vecspark.plans import catalog
+
+    # else adaptive execution puts these small rows into one task
+    assert "REPARTITION_BY_NUM" in catalog.queries()["db_boxes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_keep_their_order_at_edges():
+    mask = np.array([[1, 0, 1], [0, 1, 0], [0, 0, 0], [1, 1, 0]], bool)
+    assert [p.tolist() for p in I.connected(mask)] == [[[0, 0], [1, 1], [0, 2]], [[3, 0], [3, 1]]]
+
+
+def test_long_words_are_not_kept(monkeypatch):
+    word = "a" * 5000
+    pieces = T.WordPiece({"[UNK]": 0, "a": 1, "##a": 2})
+    assert pieces.ids(f"{word} a") == [1, *[2] * 4999, 1] and list(pieces._known) == ["a"]
+    bpe = T.ClipBpe({"a": 0, "a ": 1}, {})
+    assert bpe.ids(f"{word} a") == [*[0] * 4999, 1, 1] and list(bpe._known) == ["a"]
+    monkeypatch.setattr(T, "KNOWN_WORDS", 3)
+    assert pieces.ids("a b c d e f") == [1, 0, 0, 0, 0, 0] and len(pieces._known) <= 4
