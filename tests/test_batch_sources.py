@@ -211,3 +211,12 @@ def test_media(spark, tmp_path):
     assert [bytes(r["content"]) for r in image_files(spark, f"{tmp_path}", "*.png").collect()] == [b"x"]
     v = spark.createDataFrame([(1, 1000), (2, 0)], "video_id long, duration_us long")
     assert [r["time_us"] for r in frame_times(v, 4).orderBy("frame").collect()] == [0, 250, 500, 750]
+
+
+def test_the_stand_in_keeps_few_and_short_words():
+    e = P.HashEmbedder(8)
+    e.initialize()
+    e.embed("x" * 5000 + " y")
+    assert list(e._places) == ["y"]
+    e.embed(" ".join(map(str, range(250_000))))
+    assert len(e._places) <= 200_000
